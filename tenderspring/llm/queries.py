@@ -5,17 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import probminhash
-from .shared import table
+from . import decision_list, kneser_ney, packing, pivotal, probminhash
+from .shared import held_out, table
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_checksums(packing.packed(table(spark, sf_dir, "documents")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = decision_list.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+    return rows.select("doc_id", *(F.col("verdict")[n].alias(n) for n in names))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kneser_ney.identified(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pivotal.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *(F.col("mix")[n].alias(n) for n in ("size", "source_size", "target", "copies", "taken")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 #: SQL for DuckDB where it can express a query.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, kneser_ney, packing, pivotal, probminhash
+from . import decision_list, kneser_ney, packing, pivotal, probminhash, spotsigs, zip_archive
 from .shared import held_out, table
 
 
@@ -15,6 +15,15 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = zip_archive.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_comparison(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.packed(table(spark, sf_dir, "documents")))
 
@@ -37,6 +46,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_warc_zip": op4_warc_zip,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, kneser_ney, packing, pivotal, probminhash, spotsigs, zip_archive
+from . import decision_list, kneser_ney, neighbour_quality, packing, pivotal, probminhash, spotsigs, zip_archive
 from .shared import held_out, table
 
 
@@ -24,6 +24,11 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_comparison(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbour_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.packed(table(spark, sf_dir, "documents")))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_warc_zip": op4_warc_zip,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,

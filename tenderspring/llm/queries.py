@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, kneser_ney, neighbour_quality, packing, pivotal, probminhash, spotsigs, zip_archive
+from . import decision_list, html_tree, kneser_ney, neighbour_quality, packing, pivotal, probminhash, quotes, spotsigs, zip_archive
 from .shared import held_out, table
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = zip_archive.round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,7 +58,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_warc_zip": op4_warc_zip,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_quality_classifier": op6_quality_classifier,

@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderspring.llm import decision_list, kneser_ney, packing, pivotal, probminhash
-from tenderspring.llm.shared import settle, table
+from tenderspring.llm.shared import free_name, settle, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
-    rows, _ = decision_list.judged(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return rows.where("verdict.kept").select(*docs.columns)
+    name = free_name("verdict", docs)
+    rows, _ = decision_list.judged(docs, table(spark, sf_dir, "labels"), carry=docs.columns, result=name)
+    return rows.where(F.col(name)["kept"]).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the others are rejected."""
-    return kneser_ney.identified(docs, carry=docs.columns).where("not found.rejected").select(*docs.columns)
+    name = free_name("found", docs)
+    return kneser_ney.identified(docs, carry=docs.columns, result=name).where(~F.col(name)["rejected"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = pivotal.mixed(docs, carry=docs.columns)
-    return rows.where("mix.copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix.copies"))).alias("_copy")).select(*docs.columns)
+    name, copy = free_name("mix", docs), free_name("copy", docs)
+    rows = pivotal.mixed(docs, carry=docs.columns, result=name).where(F.col(name)["copies"] > 0)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(name)["copies"])).alias(copy)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,12 +141,12 @@ def _gain(p: float, n: float, whole_p: float, whole_n: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(whole_p / (whole_p + whole_n))) if p else 0.0
 
 
-def fit(labelled: DataFrame, s: str, quality: str, grow: str, n_thresholds: int = 24, most_rules: int = 8, most_conditions: int = 4, least_precision: float = 0.9, least_covered: int = 3) -> DecisionList:
+def fit(labelled: DataFrame, s: str, quality: str, grow: str, n_thresholds: int = 24, most_rules: int = 8, most_conditions: int = 4, least_precision: float = 0.9, least_covered: int = 2, most_failures: int = 4) -> DecisionList:
     """Learns from labelled rows: the statistics struct s, quality (1 keep, 0 reject) and grow (else prune).
 
     Thresholds are n_thresholds quantiles of each feature in either class. A rule is kept if it covers
-    least_covered rejected rows or more of the pruning part with least_precision; the first that doesn't ends
-    the list. Rows with null quality are ignored. No rows of one class: an empty list, which rejects nothing.
+    least_covered rejected rows or more of the pruning part with least_precision. After one that doesn't,
+    growing begins with another feature; most_failures of them end the list. Rows with null quality are ignored. No rows of one class: an empty list, which rejects nothing.
     """
     values = features(F.col(s))
     rows = labelled.where(F.col(quality).isin(0, 1)).select(*(v.alias(k) for k, v in values.items()), F.col(quality).alias("y"), F.col(grow).alias("g"))
@@ -159,8 +159,8 @@ def fit(labelled: DataFrame, s: str, quality: str, grow: str, n_thresholds: int
     out, plain = DecisionList(), {f: F.col(f) for f in FEATURES}
     # The bin of a value is the number of cuts below it: value <= cuts[k] exactly if bin <= k.
     bins = [_below(cuts[f], F.col(f)).alias(f) for f in FEATURES]
-    left = F.lit(True)
-    for _ in range(most_rules):
+    left, barred = F.lit(True), set()
+    while len(out.rules) < most_rules and len(barred) < most_failures:
         rule: list[Condition] = []
         open_rows = rows.where(left)
         while len(rule) < most_conditions:
@@ -171,6 +171,8 @@ def fit(labelled: DataFrame, s: str, quality: str, grow: str, n_thresholds: int
                 break
             best = (0.0, None)
             for i, f in enumerate(FEATURES):
+                if not rule and f in barred:
+                    continue
                 p = n = 0
                 at = {r["b"]: (r["p"], r["n"]) for r in counts if r["f"] == i}
                 for k, cut in enumerate(cuts[f]):
@@ -188,15 +190,16 @@ def fit(labelled: DataFrame, s: str, quality: str, grow: str, n_thresholds: int
         keep = -keep
         p, n = got[f"c{keep}_0"], got[f"c{keep}_1"]
         if p < least_covered or p < least_precision * (p + n):
-            break
+            barred.add(rule[0].feature)
+            continue
         out.rules.append(rule[: keep + 1])
         left = left & ~_all(rule[: keep + 1], plain)
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DecisionList]:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, result: str = "verdict") -> tuple[DataFrame, DecisionList]:
     """(rows, list). rows: for each row of docs the columns in `carry` (the id by default) and a struct
-    `verdict`: the statistics, base_failed, rule (0, or the rule that rejects) and kept.
+    named `result`: the statistics, base_failed, rule (0, or the rule that rejects) and kept.
 
     Labels count for ids that held_out() doesn't name; of those a third prunes. Null text has no words and
     isn't kept. Repeated ids: each row is judged by its own text. Labels without a document are ignored; an
@@ -209,4 +212,4 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     learned = fit(marked, "s", "quality", "grow")
     failed, rule = base_failed(F.col("s")), learned.rule(F.col("s"))
     verdict = F.struct("s.*", failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept"))
-    return rows.select(*(F.col("row")[c].alias(c) for c in carry), verdict.alias("verdict")), learned
+    return rows.select(*(F.col("row")[c].alias(c) for c in carry), verdict.alias(result)), learned

@@ -111,8 +111,8 @@ def _level(rows: DataFrame, last: Column) -> DataFrame:
     return dealt.mapInPandas(run, dealt.schema)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """Each row of docs with the columns in `carry` (the id by default) and a struct `mix`: size (words),
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, result: str = "mix") -> DataFrame:
+    """Each row of docs with the columns in `carry` (the id by default) and a struct named `result`: size (words),
     source_size, target (its source's), copies (0, 1 or 2), taken (copies times size).
 
     Draws depend on ids, sizes and sources alone, so that reruns agree. Taken words of a source differ from
@@ -123,10 +123,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     carry = carry or [id_col]
     row = F.struct(*(F.col(f"`{c}`") for c in carry))
     made = docs.select(row.alias("row"), F.xxhash64(F.col(id_col)).alias("place"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
-    return _mixed(settle(made, "sizes"), carry)
+    return _mixed(settle(made, "sizes"), carry, result)
 
 
-def _mixed(rows: DataFrame, carry: list[str]) -> DataFrame:
+def _mixed(rows: DataFrame, carry: list[str], result: str) -> DataFrame:
     spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n")).collect()
     wanted = targets({r["source"]: r["size"] for r in found})
@@ -152,4 +152,4 @@ def _mixed(rows: DataFrame, carry: list[str]) -> DataFrame:
     for d in done[1:]:
         out = out.union(d)
     mix = F.struct("size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
-    return out.select(*(F.col("row")[c].alias(c) for c in carry), mix.alias("mix"))
+    return out.select(*(F.col("row")[c].alias(c) for c in carry), mix.alias(result))

@@ -66,3 +66,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Rows kept from learning: crc32 of the id as text leaves 2 when divided by 4. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores before it as keep it from being one of df's columns."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name

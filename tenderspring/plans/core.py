@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import money, text, vectors
+from ..functions import dates, money, text, vectors
 from ..operators import relational as R
+from ..sources import records
 from .registry import Tables, query
 
 DAY = "1998-09-02"
@@ -332,3 +333,71 @@ def tumbling_windows(t: Tables) -> DataFrame:
 def exchange_grouping(t: Tables) -> DataFrame:
     is_question = F.when(F.col("role") == "user", 1).otherwise(0)
     return t.conversations.select("conv_id", "turn", F.sum(is_question).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)).alias("exchange"))
+
+
+@query("SELECT o_orderkey, make_date(CAST(year(o_orderdate) AS BIGINT), CASE WHEN month(o_orderdate) > 6 THEN 7 ELSE 1 END, 1) AS begin_day, CASE WHEN month(o_orderdate) > 6 THEN make_date(CAST(year(o_orderdate) AS BIGINT), 12, 31) ELSE make_date(CAST(year(o_orderdate) AS BIGINT), 6, 30) END AS end_day FROM orders")
+def half_year_window(t: Tables) -> DataFrame:
+    half = F.when(F.month("o_orderdate") > 6, "H2").otherwise("H1")
+    begin, end = dates.half_window(F.year("o_orderdate"), half)
+    return t.orders.select("o_orderkey", begin.alias("begin_day"), end.alias("end_day"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN s WHEN e < DATE '{DAY}' THEN s ELSE greatest(s, DATE '{DAY}') END AS start_day, CASE WHEN o_orderstatus = 'P' THEN s ELSE e END AS end_day, o_orderstatus <> 'P' AND e < DATE '{DAY}' AS passed FROM (SELECT *, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 90 AS e FROM orders)""")
+def remaining_window(t: Tables) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    w = dates.remaining_window(day, F.date_add(day, 90), F.lit(DAY).cast("date"), F.when(F.col("o_orderstatus") == "P", day))
+    return t.orders.select("o_orderkey", w.alias("w")).select("o_orderkey", F.col("w.start").alias("start_day"), F.col("w.end").alias("end_day"), F.col("w.passed").alias("passed"))
+
+
+@query("""SELECT event_id, CASE WHEN h >= 22 THEN date_trunc('day', l) + INTERVAL 1 DAY - INTERVAL 1 HOUR WHEN h < 8 THEN date_trunc('day', l) - INTERVAL 1 HOUR END AS resumes FROM (SELECT event_id, ts + INTERVAL 9 HOUR AS l, hour(ts + INTERVAL 9 HOUR) AS h FROM events)""")
+def quiet_hours(t: Tables) -> DataFrame:
+    return t.events.select("event_id", dates.quiet_until(F.col("ts").cast("timestamp"), F.lit(22), F.lit(8)).cast("timestamp_ntz").alias("resumes"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + CAST(value * 60 AS BIGINT) AS b, event_type FROM events), p AS (SELECT x.event_id, y.event_id AS other, least(x.b, y.b) - greatest(x.a, y.a) AS shared FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_type = 'view' AND y.event_type = 'click' AND least(x.b, y.b) > greatest(x.a, y.a)) SELECT event_id, other, shared FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY shared DESC, other) = 1""")
+def interval_overlap_best(t: Tables) -> DataFrame:
+    a = F.unix_seconds(F.col("ts").cast("timestamp"))
+    spans = t.events.select("event_id", "user_id", "event_type", a.alias("a"), (a + F.rint(F.col("value") * 60).cast("bigint")).alias("b"))
+    x = spans.where("event_type = 'view'")
+    y = spans.where("event_type = 'click'").toDF("other", "user_id", "kind", "c", "d")
+    shared = F.least("b", "d") - F.greatest("a", "c")
+    pairs = x.join(y, "user_id").where(shared > 0).select("event_id", "other", shared.alias("shared"))
+    best = pairs.groupBy("event_id").agg(F.max(F.struct("shared", (-F.col("other")).alias("o"))).alias("x"))
+    return best.select("event_id", (-F.col("x.o")).alias("other"), F.col("x.shared").alias("shared"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS gap FROM events), s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS begin_at, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(t: Tables) -> DataFrame:
+    """An extra: the reference has no session windows."""
+    w = F.session_window(F.col("ts"), "6 hours")
+    return t.events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("begin_at"), "n")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END)::DOUBLE AS priced FROM orders GROUP BY 1")
+def field_coverage(t: Tables) -> DataFrame:
+    rows = t.orders.withColumn("priced", F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")))
+    return records.field_coverage(rows, "o_orderpriority", ["priced"])
+
+
+@query("SELECT page_id, regexp_replace(url, '(utm_source)=[^&]+', '\\1=***') AS url FROM pages".replace("\\\\", "\\"))
+def masked_parameters(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.regexp_replace("url", "(utm_source)=[^&]+", "$1=***").alias("url"))
+
+
+@query("SELECT user_id, n, digest_day FROM (SELECT user_id, CAST(ts + INTERVAL 9 HOUR AS DATE) AS digest_day, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2)")
+def digest_windows(t: Tables) -> DataFrame:
+    day = F.to_date(F.col("ts") + F.expr("INTERVAL 9 HOURS"))
+    return t.events.where("event_type <> 'error'").groupBy("user_id", day.alias("digest_day")).agg(F.count("*").alias("n")).select("user_id", "n", "digest_day")
+
+
+@query("""SELECT c_custkey, list_sort(list_distinct(list(o_orderpriority)))[1:3] AS kinds, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def ordered_distinct_lists(t: Tables) -> DataFrame:
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy("c_custkey").agg(F.slice(F.sort_array(F.collect_set("o_orderpriority")), 1, 3).alias("kinds"), F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, max(run) AS longest_failure_run FROM (SELECT user_id, grp, count(*) FILTER (WHERE event_type = 'error') AS run FROM (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS grp FROM events) GROUP BY 1, 2) GROUP BY 1""")
+def failure_runs(t: Tables) -> DataFrame:
+    group = F.sum((F.col("event_type") != "error").cast("int")).over(Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    runs = t.events.withColumn("grp", group).groupBy("user_id", "grp").agg(F.count_if(F.col("event_type") == "error").alias("run"))
+    return runs.groupBy("user_id").agg(F.max("run").alias("longest_failure_run"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text, vectors
-from ..operators import chunking, grounding, linkage, ranking
+from ..operators import chunking, entities, grounding, linkage, ranking
+from ..sources import records
 from .registry import Tables, query
 
 TODAY = date(2026, 9, 25)
@@ -116,3 +117,35 @@ def timing_parse(t: Tables) -> DataFrame:
 def titles_and_categories(t: Tables) -> DataFrame:
     rows = signals(t).select("signal_id", "title")
     return rows.select("signal_id", text.canonical_title(F.col("title")).alias("title"), text.canonical_terms(F.col("title")).alias("terms"), text.category_votes(F.col("title")).alias("c")).select("signal_id", "title", "terms", "c.*")
+
+_INSTITUTIONS = [
+    ("LG-11680", "서울특별시 강남구", "local_gov", "서울특별시", "강남구", ["강남구청"]), ("CN-11680", "서울특별시 강남구의회", "council", "서울특별시", "강남구", ["강남구의회"]),
+    ("LG-41110", "경기도 수원시", "local_gov", "경기도", "수원시", ["수원시청"]), ("LG-36110", "세종특별자치시", "local_gov", "세종특별자치시", None, ["세종시청", "세종시"]), ("LG-26230", "부산광역시 부산진구", "local_gov", "부산광역시", "부산진구", []),
+    ("LG-41610", "경기도 광주시", "local_gov", "경기도", "광주시", []), ("LG-51110", "강원특별자치도 춘천시", "local_gov", "강원특별자치도", "춘천시", ["춘천시청"]), ("LG-30140", "대전광역시 중구", "local_gov", "대전광역시", "중구", []),
+    ("LG-11140", "서울특별시 중구", "local_gov", "서울특별시", "중구", []), ("LG-26350", "부산광역시 해운대구", "local_gov", "부산광역시", "해운대구", ["해운대구청"]),
+]
+_NAMES = [
+    ("서울특별시 강남구청 스마트도시과", None), ("강남구의회", None), ("수원특례시 정보통신과", None), ("세종시청", None), ("부산진구청", None), ("경기도 광주시", None), ("강원도 춘천시청 정보통신과", None),
+    ("중구청 기획예산과", None), ("중구청 기획예산과", "대전광역시"), ("서울교통공사", None), ("경기도 신성중학교", None), ("진주시 시설관리공단", None), (None, None),
+]
+_RESPONSE = '{"response":{"header":{"resultCode":"00"},"body":{"items":[{"orderPlanUntyNo":"P-9","bizNm":"쉘터 구축","nticeDt":"20260302","sumOrderAmt":"29,315,000","bidNtceNoList":"R26BK00000001000, R26BK00000002000","deptNm":""},{"bizNm":"no id"}],"totalCount":2}}}'
+
+
+@query()
+def resolve_institution(t: Tables) -> DataFrame:
+    institutions = t.spark.createDataFrame(_INSTITUTIONS, "code string, name string, kind string, sido string, sigungu string, aliases array<string>")
+    return entities.resolve(t.spark.createDataFrame(_NAMES, "raw string, hint string"), institutions, "raw", "hint")
+
+
+@query()
+def misread_institution(t: Tables) -> DataFrame:
+    institutions = t.spark.createDataFrame(_INSTITUTIONS, "code string, name string, kind string, sido string, sigungu string, aliases array<string>")
+    return entities.misread(t.spark.createDataFrame([("해운데구청",), ("강남구정",), ("아무개청",)], "raw string"), institutions)
+
+
+@query()
+def procurement_records(t: Tables) -> DataFrame:
+    landed = t.spark.createDataFrame([(_RESPONSE,)], "value string").select(F.try_parse_json("value").alias("body"))
+    items = landed.select(F.explode(records.envelope_items(F.col("body"))).alias("item"))
+    rows = records.mapped(items, "order_plan")
+    return rows.withColumn("content_hash", records.content_hash(F.col("title"), F.lit(None).cast("string"), F.col("structured"))).drop("structured")

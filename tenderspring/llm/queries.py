@@ -16,7 +16,7 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
+#: Classes of texts with plain Jaccard of 0.8 or more over five-word shingles, by brute force.
+_OP2 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t\n\x0B\f\r]+') if x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN [hash(w[i:i + 4]) for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [hash(w)] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c) UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1
+"""
+
+#: Hexadecimal digits of the digest, five at a time, as four letters of base 32.
+_OP4 = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INT)) % 32 AS BIGINT), 1) for k in range(0, 32)], '') AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM (SELECT page_id, html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
+"""
+
 #: SQL for DuckDB where it can express a query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op4_warc_zip": _OP4}

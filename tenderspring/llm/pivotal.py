@@ -2,8 +2,9 @@
 
 A document of a source is to be taken target / source size times. The whole part is sure; the fractions are
 rounded in pairs: two documents trade probability, weighed by their sizes so that the words expected from
-both stay the same, until one of them is in or out for sure. A block of documents ends with one undecided
-document at most; the undecided of many blocks form the blocks of the next level, up to one for a source.
+both stay the same, until one of them is in or out for sure. Large documents go first, and one whose partner
+is too small to balance it trades with several, so that what stays undecided in a block is one of its smallest
+documents at most. The undecided of many blocks form the blocks of the next level, up to one for a source.
 """
 
 from __future__ import annotations
@@ -50,32 +51,40 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def _round_block(size: np.ndarray, chance: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
-    """Chances after rounding in the given order, and the place of the one that stays undecided (-1: none)."""
+    """Chances after rounding in the given order, largest first, and the place of the one that stays undecided
+    (-1: none). A document trades with the next one, or with as many of the next as can balance it."""
     draws = np.random.default_rng(seed).random(len(size))
-    sizes, out, held = size.tolist(), chance.tolist(), -1
-    for k in range(len(sizes)):
-        if not 1e-12 < out[k] < 1 - 1e-12:
-            out[k] = float(round(out[k]))
+    s, x, n, held = size.tolist(), chance.tolist(), len(size), -1
+    x = [float(round(v)) if v < 1e-9 or v > 1 - 1e-9 else v for v in x]
+    for i in range(n):
+        if x[i] in (0.0, 1.0):
             continue
-        if held < 0:
-            held = k
-            continue
-        a, b = sizes[held], sizes[k]
-        up = min((1 - out[held]) * a, out[k] * b)  # words that held may gain from k
-        down = min(out[held] * a, (1 - out[k]) * b)  # words that k may gain from held
-        moved = up if draws[k] < down / (up + down) else -down
-        out[held] += moved / a
-        out[k] -= moved / b
-        loose = []
-        for i in (held, k):
-            if out[i] <= 1e-9:
-                out[i] = 0.0
-            elif out[i] >= 1 - 1e-9:
-                out[i] = 1.0
-            else:
-                loose.append(i)
-        held = loose[0] if loose else -1
-    return np.array(out), held
+        wants, gives, j = (1 - x[i]) * s[i], x[i] * s[i], i + 1
+        others, can_give, can_take = [], 0.0, 0.0
+        while j < n and (can_give < wants or can_take < gives):
+            if x[j] not in (0.0, 1.0):
+                others.append(j)
+                can_give, can_take = can_give + x[j] * s[j], can_take + (1 - x[j]) * s[j]
+            j += 1
+        up, down = min(wants, can_give), min(gives, can_take)
+        if not others:
+            held = i
+            break
+        if draws[i] < down / (up + down):
+            x[i] += up / s[i]
+            for k in others:
+                x[k] *= 1 - up / can_give
+        else:
+            x[i] -= down / s[i]
+            for k in others:
+                x[k] = 1 - (1 - x[k]) * (1 - down / can_take)
+        for k in (i, *others):
+            if x[k] < 1e-9 or x[k] > 1 - 1e-9:
+                x[k] = float(round(x[k]))
+        if x[i] not in (0.0, 1.0):  # it has used up all that follow
+            held = i
+            break
+    return np.array(x), held
 
 
 def _level(rows: DataFrame, last: Column) -> DataFrame:
@@ -107,7 +116,7 @@ def _level(rows: DataFrame, last: Column) -> DataFrame:
         return part
 
     keyed = rows.withColumns({"key": F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "block"), "last": last})
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "place")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", F.col("size").desc(), "place")
     return dealt.mapInPandas(run, dealt.schema)
 
 

@@ -22,6 +22,11 @@ from .shared import settle
 U = np.uint64
 #: 80 registers as 20 bands of 4: a pair at 0.8 is missed with probability (1 - 0.8**4)**20, about 3e-5.
 BANDS, ROWS = 20, 4
+#: Registers, of four bits each, that decide which further members of a band are compared; members of a block.
+FINE, BLOCK = 2048, 256
+#: So many ids at most are broadcast, to pick their texts; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+_EQUAL = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
 
 
 def weighted_shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +99,12 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     return rows.mapInArrow(run, "id long, same string, bands array<long>")
 
 
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids."""
+    ids = settle(ids.distinct(), "ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """pairs(a, b) with the exact plain and weighted similarity of their texts, and `linked`."""
 
@@ -114,12 +125,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(plains), pa.array(weighted), pa.array(linked)], ["a", "b", "plain", "weighted", "linked"])
                 at = to
 
+    pairs = settle(pairs, "pairs")
+    texts = _of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(run, "a long, b long, plain double, weighted double, linked boolean")
 
 
+def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs (a, b), a > b, that may still be links although members(band, value, id, head, root) puts them in
+    one band and in different classes. bands(id, bands) has all bands of a text.
+
+    In each band the members outside the head's class meet all members, in blocks: tasks get blocks of
+    signatures with FINE registers of four bits each, and give back only pairs whose estimate comes within
+    four deviations of the threshold, each from the first band that it shares. So a band with many members
+    makes few rows, although each is compared.
+    """
+    kinds = members.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.max(F.when(F.col("id") == F.col("head"), F.col("root"))).alias("head_root"))
+    mixed = settle(members.join(kinds.where("lo < hi"), ["band", "value"]).select("band", "value", "id", "root", "n", (F.col("root") != F.col("head_root")).alias("stray")), "open")
+    strays = mixed.where("stray").groupBy("band", "value").agg(F.count("*").alias("k"))
+    # Registers of different elements agree by chance once in 16 times.
+    share = threshold + (1 - threshold) / 16
+    least = int(FINE * (share - 4 * (share * (1 - share) / FINE) ** 0.5))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in W.chunks(batch.column(1), 1 << 18):
+                s, w, begins = weighted_shingles(part, size)
+                four = (signatures(s, w.astype(float), begins, FINE) >> U(60)).astype(np.uint8)
+                packed = four[:, ::2] << 4 | four[:, 1::2]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "fine"])
+                at += len(part)
+
+    def met(block: pa.Table) -> pa.Table:
+        ids, roots, left, stray, own = (np.array(block.column(c).to_pylist()) for c in ("id", "root", "left", "stray", "bands"))
+        fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(-1, FINE // 2)
+        band = block.column("band")[0].as_py()
+        columns = np.flatnonzero(~left)
+        a, b = [], []
+        for i in np.flatnonzero(left):
+            other = columns[(roots[columns] != roots[i]) & ~(stray[columns] & (ids[columns] < ids[i]))]
+            other = other[~(own[other, :band] == own[i, :band]).any(axis=1)]
+            near = other[_EQUAL[fine[other] ^ fine[i]].sum(axis=1, dtype=np.int64) >= least]
+            a += np.maximum(ids[near], ids[i]).tolist()
+            b += np.minimum(ids[near], ids[i]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    fine = settle(_of(texts, mixed.select("id")).mapInArrow(signed, "id long, fine binary"), "fine").join(bands, "id")
+    rows = mixed.join(strays, ["band", "value"]).withColumns({"n_left": F.ceil(F.col("k") / BLOCK), "n_right": F.ceil(F.col("n") / BLOCK)})
+    left = rows.where("stray").select("*", F.pmod(F.xxhash64("id"), "n_left").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1)).alias("j"), F.lit(True).alias("left"))
+    right = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "n_right").alias("j"), F.lit(False).alias("left"))
+    columns = ["band", "value", "i", "j", "id", "root", "left", "stray"]
+    blocks = left.select(*columns).union(right.select(*columns)).join(fine, "id")
+    return blocks.groupBy("band", "value", "i", "j").applyInArrow(met, "a long, b long").distinct()
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """(id, same, class_id, n_links) for each row; `same` is the digest of its text."""
     rows = settle(_signed(docs, id_col, text_col, size), "signed")
@@ -131,18 +193,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     stars = met.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     links = settle(_verified(stars, texts, size, threshold), "links")
     found = settle(components(links.where("linked").select("a", "b")), "classes")
-    # Bands in which several classes remain: their members meet each other, but for pairs of one class.
-    named = met.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "value", "id", "head", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "value")
-    # Both distances are metrics: only members whose distances from the head differ by 1 - threshold at most can be linked.
-    far = links.select(F.col("a").alias("id"), F.col("b").alias("head"), "plain", "weighted")
-    left = settle(named.where("id > head").join(mixed, ["band", "value"]).join(far, ["id", "head"]), "open")
-    x, y = (left.select("band", "value", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "plain", "weighted"))) for s in "ab")
-    near = [F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= 1 - threshold + 1e-9 for c in ("plain", "weighted")]
-    more = x.join(y, ["band", "value"]).where((F.col("root_a") < F.col("root_b")) & (near[0] | near[1]))
-    more = settle(more.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct(), "more")
+    more = _further_pairs(met.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "value", "id", "head", F.coalesce("root", "id").alias("root")), firsts.select(F.col("first").alias("id"), "bands"), texts, size, threshold)
+    more = settle(more.join(links.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = settle(links.union(_verified(more.join(links, ["a", "b"], "left_anti"), texts, size, threshold)), "all-links")
+        links = settle(links.union(_verified(more, texts, size, threshold)), "all-links")
         found = settle(components(links.where("linked").select("a", "b")), "all-classes")
     ends = links.where("linked").select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
     known = firsts.select("same", "first").join(found.withColumnRenamed("node", "first"), "first", "left").join(ends, "first", "left")
@@ -158,9 +212,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts are one class before any comparing and only the text with the smallest id goes on. Texts that
     share a band are candidates; within a band the text with the smallest id is compared with all others, and
-    then those that still lie in different classes of one band are compared with each other, so that a band
-    of thousands of copies costs about as many comparisons as it has members. Every candidate pair is
-    compared, or lies in one class by verified links, or can't reach the threshold by the triangle inequality.
+    then those that still lie in different classes of one band, first by longer signatures in blocks and then
+    exactly. Every candidate pair is compared, or lies in one class by verified links, or is ruled out by a
+    signature of FINE registers (a pair at the threshold is ruled out with probability 3e-5).
 
     Null text: a class of its own. Empty or all-space texts: equal ones are one class, without links. A null
     id is kept as a row, its class_id that of its text. Repeated ids: each row is returned, with the class of

@@ -26,6 +26,8 @@ BANDS, ROWS = 20, 4
 FINE, BLOCK = 2048, 256
 #: So many ids at most are broadcast, to pick their texts; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 500
 _EQUAL = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
 
 
@@ -173,7 +175,7 @@ def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size:
             b += np.minimum(ids[near], ids[i]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    fine = settle(_of(texts, mixed.select("id")).mapInArrow(signed, "id long, fine binary"), "fine").join(bands, "id")
+    fine = settle(_of(texts, mixed.select("id")).mapInArrow(signed, "id long, fine binary"), "fine", TEXT_ROWS).join(bands, "id")
     rows = mixed.join(strays, ["band", "value"]).withColumns({"n_left": F.ceil(F.col("k") / BLOCK), "n_right": F.ceil(F.col("n") / BLOCK)})
     left = rows.where("stray").select("*", F.pmod(F.xxhash64("id"), "n_left").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1)).alias("j"), F.lit(True).alias("left"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "n_right").alias("j"), F.lit(False).alias("left"))
@@ -184,19 +186,19 @@ def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """(id, same, class_id, n_links) for each row; `same` is the digest of its text."""
-    rows = settle(_signed(docs, id_col, text_col, size), "signed")
+    rows = settle(_signed(docs, id_col, text_col, size), "signed", TEXT_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     firsts = settle(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.max_by("bands", -F.col("id")).alias("bands")), "firsts")
     banded = firsts.where("first is not null and size(bands) > 0").select(F.col("first").alias("id"), F.posexplode("bands").alias("band", "value"))
     heads = banded.groupBy("band", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = banded.join(heads, ["band", "value"])
+    met = settle(banded.join(heads, ["band", "value"]).select("band", "value", "id", "head"), "met")
     stars = met.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = settle(_verified(stars, texts, size, threshold), "links")
+    links = settle(_verified(stars, texts, size, threshold), "links", TEXT_ROWS)
     found = settle(components(links.where("linked").select("a", "b")), "classes")
     more = _further_pairs(met.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "value", "id", "head", F.coalesce("root", "id").alias("root")), firsts.select(F.col("first").alias("id"), "bands"), texts, size, threshold)
     more = settle(more.join(links.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = settle(links.union(_verified(more, texts, size, threshold)), "all-links")
+        links = settle(links.union(_verified(more, texts, size, threshold)), "all-links", TEXT_ROWS)
         found = settle(components(links.where("linked").select("a", "b")), "all-classes")
     ends = links.where("linked").select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
     known = firsts.select("same", "first").join(found.withColumnRenamed("node", "first"), "first", "left").join(ends, "first", "left")

@@ -51,12 +51,18 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", batch_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that later steps neither recompute it nor
-    depend on executors that may be lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    depend on executors that may be lost. batch_rows: of Arrow batches meanwhile, for columns of long texts."""
+    spark, path, setting = df.sparkSession, new_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch_rows:
+        spark.conf.set(setting, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -184,6 +184,13 @@ def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size:
     return blocks.groupBy("band", "value", "i", "j").applyInArrow(met, "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends aren't in one class yet."""
+    roots_a, roots_b = found.toDF("a", "root_a"), found.toDF("b", "root_b")
+    rows = pairs.join(roots_a, "a", "left").join(roots_b, "b", "left")
+    return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """(id, same, class_id, n_links) for each row; `same` is the digest of its text."""
     rows = settle(_signed(docs, id_col, text_col, size), "signed", TEXT_ROWS)
@@ -192,8 +199,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     banded = firsts.where("first is not null and size(bands) > 0").select(F.col("first").alias("id"), F.posexplode("bands").alias("band", "value"))
     heads = banded.groupBy("band", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     met = settle(banded.join(heads, ["band", "value"]).select("band", "value", "id", "head"), "met")
-    stars = met.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = settle(_verified(stars, texts, size, threshold), "links", TEXT_ROWS)
+    texts = settle(_of(texts, met.select("id")), "candidates")
+    stars = settle(met.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    links = settle(_verified(stars.groupBy("a").agg(F.min("b").alias("b")), texts, size, threshold), "head-links", TEXT_ROWS)
+    found = settle(components(links.where("linked").select("a", "b")), "head-classes")
+    apart = _apart(stars.join(links, ["a", "b"], "left_anti"), found)
+    links = settle(links.union(_verified(apart, texts, size, threshold)), "links", TEXT_ROWS)
     found = settle(components(links.where("linked").select("a", "b")), "classes")
     more = _further_pairs(met.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "value", "id", "head", F.coalesce("root", "id").alias("root")), firsts.select(F.col("first").alias("id"), "bands"), texts, size, threshold)
     more = settle(more.join(links.select("a", "b"), ["a", "b"], "left_anti"), "more")
@@ -213,10 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Jaccard of their distinct shingles, of at least `threshold`.
 
     Equal texts are one class before any comparing and only the text with the smallest id goes on. Texts that
-    share a band are candidates; within a band the text with the smallest id is compared with all others, and
-    then those that still lie in different classes of one band, first by longer signatures in blocks and then
-    exactly. Every candidate pair is compared, or lies in one class by verified links, or is ruled out by a
-    signature of FINE registers (a pair at the threshold is ruled out with probability 3e-5).
+    share a band are candidates. Each is compared with the smallest id of all its bands, then with the smallest
+    of each band where both still lie in different classes, and then those that still lie in different classes
+    of one band are compared, first by longer signatures in blocks and then exactly. Every candidate pair is
+    compared, or lies in one class by verified links, or is ruled out by a signature of FINE registers (a pair
+    at the threshold is ruled out with probability 3e-5).
 
     Null text: a class of its own. Empty or all-space texts: equal ones are one class, without links. A null
     id is kept as a row, its class_id that of its text. Repeated ids: each row is returned, with the class of

@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
 
 
 def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs (a, b), a > b, that may still be links although members(band, value, id, head, root) puts them in
+    """Pairs (a, b, equal registers), a > b, that may still be links although members(band, value, id, head, root) puts them in
     one band and in different classes. bands(id, bands) has all bands of a text.
 
     In each band the members outside the head's class meet all members, in blocks: tasks get blocks of
@@ -166,14 +166,16 @@ def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size:
         fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(-1, FINE // 2)
         band = block.column("band")[0].as_py()
         columns = np.flatnonzero(~left)
-        a, b = [], []
+        a, b, equal = [], [], []
         for i in np.flatnonzero(left):
             other = columns[(roots[columns] != roots[i]) & ~(stray[columns] & (ids[columns] < ids[i]))]
             other = other[~(own[other, :band] == own[i, :band]).any(axis=1)]
-            near = other[_EQUAL[fine[other] ^ fine[i]].sum(axis=1, dtype=np.int64) >= least]
+            same = _EQUAL[fine[other] ^ fine[i]].sum(axis=1, dtype=np.int64)
+            near = other[same >= least]
+            equal += same[same >= least].tolist()
             a += np.maximum(ids[near], ids[i]).tolist()
             b += np.minimum(ids[near], ids[i]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(equal, pa.int64())})
 
     fine = settle(_of(texts, mixed.select("id")).mapInArrow(signed, "id long, fine binary"), "fine", TEXT_ROWS).join(bands, "id")
     rows = mixed.join(strays, ["band", "value"]).withColumns({"n_left": F.ceil(F.col("k") / BLOCK), "n_right": F.ceil(F.col("n") / BLOCK)})
@@ -181,14 +183,15 @@ def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size:
     right = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "n_right").alias("j"), F.lit(False).alias("left"))
     columns = ["band", "value", "i", "j", "id", "root", "left", "stray"]
     blocks = left.select(*columns).union(right.select(*columns)).join(fine, "id")
-    return blocks.groupBy("band", "value", "i", "j").applyInArrow(met, "a long, b long").distinct()
+    return blocks.groupBy("band", "value", "i", "j").applyInArrow(met, "a long, b long, equal long").distinct()
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends aren't in one class yet."""
+    """The pairs (a, b) whose ends aren't in one class yet, with the larger of their roots."""
     roots_a, roots_b = found.toDF("a", "root_a"), found.toDF("b", "root_b")
     rows = pairs.join(roots_a, "a", "left").join(roots_b, "b", "left")
-    return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    root_a, root_b = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+    return rows.where(root_a != root_b).select(*pairs.columns, F.greatest(root_a, root_b).alias("root"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
@@ -204,13 +207,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     links = settle(_verified(stars.groupBy("a").agg(F.min("b").alias("b")), texts, size, threshold), "head-links", TEXT_ROWS)
     found = settle(components(links.where("linked").select("a", "b")), "head-classes")
     apart = _apart(stars.join(links, ["a", "b"], "left_anti"), found)
-    links = settle(links.union(_verified(apart, texts, size, threshold)), "links", TEXT_ROWS)
+    links = settle(links.union(_verified(apart.select("a", "b"), texts, size, threshold)), "links", TEXT_ROWS)
     found = settle(components(links.where("linked").select("a", "b")), "classes")
     more = _further_pairs(met.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "value", "id", "head", F.coalesce("root", "id").alias("root")), firsts.select(F.col("first").alias("id"), "bands"), texts, size, threshold)
     more = settle(more.join(links.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = settle(links.union(_verified(more, texts, size, threshold)), "all-links", TEXT_ROWS)
-        found = settle(components(links.where("linked").select("a", "b")), "all-classes")
+    for last in (False, True):
+        apart = settle(_apart(more.join(links, ["a", "b"], "left_anti"), found), "apart")
+        if apart.isEmpty():
+            break
+        likeliest = apart.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.*")
+        links = settle(links.union(_verified(apart.select("a", "b") if last else likeliest, texts, size, threshold)), "links", TEXT_ROWS)
+        found = settle(components(links.where("linked").select("a", "b")), "classes")
     ends = links.where("linked").select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
     known = firsts.select("same", "first").join(found.withColumnRenamed("node", "first"), "first", "left").join(ends, "first", "left")
     known = known.select("same", F.coalesce("root", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -226,9 +233,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal texts are one class before any comparing and only the text with the smallest id goes on. Texts that
     share a band are candidates. Each is compared with the smallest id of all its bands, then with the smallest
     of each band where both still lie in different classes, and then those that still lie in different classes
-    of one band are compared, first by longer signatures in blocks and then exactly. Every candidate pair is
-    compared, or lies in one class by verified links, or is ruled out by a signature of FINE registers (a pair
-    at the threshold is ruled out with probability 3e-5).
+    of one band are compared, first by longer signatures in blocks and then exactly: of each class the likeliest
+    pair, then all that are left. Every candidate pair is compared, or lies in one class by verified links, or
+    is ruled out by a signature of FINE registers (a pair at the threshold is ruled out with probability 3e-5).
 
     Null text: a class of its own. Empty or all-space texts: equal ones are one class, without links. A null
     id is kept as a row, its class_id that of its text. Repeated ids: each row is returned, with the class of

@@ -135,21 +135,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     return rows.mapInArrow(run, "a long, b long, plain double, weighted double, linked boolean")
 
 
-def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs (a, b, equal registers), a > b, that may still be links although members(band, value, id, head, root) puts them in
-    one band and in different classes. bands(id, bands) has all bands of a text.
-
-    In each band the members outside the head's class meet all members, in blocks: tasks get blocks of
-    signatures with FINE registers of four bits each, and give back only pairs whose estimate comes within
-    four deviations of the threshold, each from the first band that it shares. So a band with many members
-    makes few rows, although each is compared.
-    """
+def _open(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (band, value, id, root, n, stray) of the bands whose members aren't all in one class; n of them
+    are in the band, and stray ones are outside the class of the band's head."""
+    members = met.join(found.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     kinds = members.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.max(F.when(F.col("id") == F.col("head"), F.col("root"))).alias("head_root"))
-    mixed = settle(members.join(kinds.where("lo < hi"), ["band", "value"]).select("band", "value", "id", "root", "n", (F.col("root") != F.col("head_root")).alias("stray")), "open")
-    strays = mixed.where("stray").groupBy("band", "value").agg(F.count("*").alias("k"))
-    # Registers of different elements agree by chance once in 16 times.
-    share = threshold + (1 - threshold) / 16
-    least = int(FINE * (share - 4 * (share * (1 - share) / FINE) ** 0.5))
+    mixed = members.join(kinds.where("lo < hi"), ["band", "value"])
+    return settle(mixed.select("band", "value", "id", "root", "n", (F.col("root") != F.col("head_root")).alias("stray")), "open")
+
+
+def _fine(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, fine): signatures of FINE registers of four bits each."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,37 +157,57 @@ def _further_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, size:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "fine"])
                 at += len(part)
 
+    return settle(_of(texts, ids).mapInArrow(signed, "id long, fine binary"), "fine", TEXT_ROWS)
+
+
+def _further_pairs(mixed: DataFrame, fine: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """Pairs (a, b, equal registers, larger root), a > b, that may still be links although they share a band
+    and lie in different classes: all, or the likeliest of each stray text in a block.
+
+    In each band the members outside the head's class meet all members, in blocks of texts with their `fine`
+    signatures and bands. Given back are only pairs whose estimate comes within four deviations of the
+    threshold, each from the first band that it shares. So a band with many members makes few rows, although
+    each is compared.
+    """
+    strays = mixed.where("stray").groupBy("band", "value").agg(F.count("*").alias("k"))
+    # Registers of different elements agree by chance once in 16 times.
+    share = threshold + (1 - threshold) / 16
+    least = int(FINE * (share - 4 * (share * (1 - share) / FINE) ** 0.5))
+
     def met(block: pa.Table) -> pa.Table:
         ids, roots, left, stray, own = (np.array(block.column(c).to_pylist()) for c in ("id", "root", "left", "stray", "bands"))
         fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(-1, FINE // 2)
         band = block.column("band")[0].as_py()
         columns = np.flatnonzero(~left)
-        a, b, equal = [], [], []
+        a, b, equal, larger = [], [], [], []
         for i in np.flatnonzero(left):
             other = columns[(roots[columns] != roots[i]) & ~(stray[columns] & (ids[columns] < ids[i]))]
             other = other[~(own[other, :band] == own[i, :band]).any(axis=1)]
             same = _EQUAL[fine[other] ^ fine[i]].sum(axis=1, dtype=np.int64)
-            near = other[same >= least]
-            equal += same[same >= least].tolist()
+            close = np.flatnonzero(same >= least)
+            if not every and len(close):
+                close = close[[same[close].argmax()]]
+            near = other[close]
+            equal += same[close].tolist()
+            larger += np.maximum(roots[near], roots[i]).tolist()
             a += np.maximum(ids[near], ids[i]).tolist()
             b += np.minimum(ids[near], ids[i]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(equal, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(equal, pa.int64()), "root": pa.array(larger, pa.int64())})
 
-    fine = settle(_of(texts, mixed.select("id")).mapInArrow(signed, "id long, fine binary"), "fine", TEXT_ROWS).join(bands, "id")
     rows = mixed.join(strays, ["band", "value"]).withColumns({"n_left": F.ceil(F.col("k") / BLOCK), "n_right": F.ceil(F.col("n") / BLOCK)})
     left = rows.where("stray").select("*", F.pmod(F.xxhash64("id"), "n_left").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_right") - 1)).alias("j"), F.lit(True).alias("left"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "n_right").alias("j"), F.lit(False).alias("left"))
     columns = ["band", "value", "i", "j", "id", "root", "left", "stray"]
     blocks = left.select(*columns).union(right.select(*columns)).join(fine, "id")
-    return blocks.groupBy("band", "value", "i", "j").applyInArrow(met, "a long, b long, equal long").distinct()
+    return blocks.groupBy("band", "value", "i", "j").applyInArrow(met, "a long, b long, equal long, root long").distinct()
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends aren't in one class yet, with the larger of their roots."""
+    """The pairs (a, b) whose ends aren't in one class yet."""
     roots_a, roots_b = found.toDF("a", "root_a"), found.toDF("b", "root_b")
     rows = pairs.join(roots_a, "a", "left").join(roots_b, "b", "left")
     root_a, root_b = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
-    return rows.where(root_a != root_b).select(*pairs.columns, F.greatest(root_a, root_b).alias("root"))
+    return rows.where(root_a != root_b).select(*pairs.columns)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
@@ -207,17 +223,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     links = settle(_verified(stars.groupBy("a").agg(F.min("b").alias("b")), texts, size, threshold), "head-links", TEXT_ROWS)
     found = settle(components(links.where("linked").select("a", "b")), "head-classes")
     apart = _apart(stars.join(links, ["a", "b"], "left_anti"), found)
-    links = settle(links.union(_verified(apart.select("a", "b"), texts, size, threshold)), "links", TEXT_ROWS)
+    links = settle(links.union(_verified(apart, texts, size, threshold)), "links", TEXT_ROWS)
     found = settle(components(links.where("linked").select("a", "b")), "classes")
-    more = _further_pairs(met.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "value", "id", "head", F.coalesce("root", "id").alias("root")), firsts.select(F.col("first").alias("id"), "bands"), texts, size, threshold)
-    more = settle(more.join(links.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    for last in (False, True):
-        apart = settle(_apart(more.join(links, ["a", "b"], "left_anti"), found), "apart")
-        if apart.isEmpty():
+    mixed = _open(met, found)
+    fine = _fine(texts, mixed.select("id"), size).join(firsts.select(F.col("first").alias("id"), "bands"), "id")
+    for every in (False, True):
+        more = settle(_further_pairs(mixed, fine, threshold, every), "more")
+        if more.isEmpty():
             break
-        likeliest = apart.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.*")
-        links = settle(links.union(_verified(apart.select("a", "b") if last else likeliest, texts, size, threshold)), "links", TEXT_ROWS)
+        more = more.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        if not every:
+            more = more.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.*")
+        links = settle(links.union(_verified(more.select("a", "b"), texts, size, threshold)), "links", TEXT_ROWS)
         found = settle(components(links.where("linked").select("a", "b")), "classes")
+        mixed = mixed if every else _open(met, found)
     ends = links.where("linked").select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
     known = firsts.select("same", "first").join(found.withColumnRenamed("node", "first"), "first", "left").join(ends, "first", "left")
     known = known.select("same", F.coalesce("root", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -44,3 +44,13 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["ground_quote", "minutes_chunks", "budget_chunks", "money_parse", "timing_parse", "titles_and_categories"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_ngram_jaccard_compares_all_items(spark, tmp_path):
+    texts = {k: f"item {k % 7} of {k * k} {'abc' * (k % 3)}" for k in range(60)} | {70: "", 71: "zq"}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bare = {k: "".join(v.split()) for k, v in texts.items()}
+    grams = {k: {v[i : i + 3] for i in range(len(v) - 2)} for k, v in bare.items()}
+    wanted = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b and grams[a] | grams[b]}
+    got = {(r.a, r.b): r.jaccard for r in QUERIES["ngram_jaccard"](spark, str(tmp_path)).collect()}
+    assert len(got) == 62 * 61 // 2 and {k: got[k] for k in wanted} == pytest.approx(wanted)

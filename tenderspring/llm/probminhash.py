@@ -63,6 +63,17 @@ def signatures(shingles: np.ndarray, weights: np.ndarray, begins: np.ndarray, m:
     return winner.reshape(n, m)
 
 
+def both_signatures(shingles: np.ndarray, weights: np.ndarray, begins: np.ndarray, m: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures by the counts, those with all counts 1, and which texts repeat a shingle; for the others both are the same."""
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    weighted = signatures(shingles, weights.astype(float), begins, m)
+    plain, repeats = weighted.copy(), np.bincount(owner[weights > 1], minlength=len(begins) - 1) > 0
+    if repeats.any():
+        own = shingles[repeats[owner]]
+        plain[repeats] = signatures(own, np.ones(len(own)), np.concatenate(([0], np.cumsum(np.diff(begins)[repeats]))), m)
+    return weighted, plain, repeats
+
+
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Exact probability Jaccard similarity of two weighted sets with sorted distinct elements: the sum over
     shared d of 1 / sum over all e of max(wa_e / wa_d, wb_e / wb_d)."""
@@ -82,18 +93,21 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, same, bands): BANDS values by the counts and, of texts that repeat a shingle, BANDS with all counts 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0), 0
             for part in W.chunks(batch.column(1)):
                 s, w, begins = weighted_shingles(part, size)
-                rows = signatures(s, w.astype(float), begins).reshape(-1, BANDS, ROWS)
-                bands = np.zeros((len(part), BANDS), U)
+                weighted, plain, repeats = both_signatures(s, w, begins)
+                rows = np.hstack((weighted, plain)).reshape(-1, 2 * BANDS, ROWS)
+                bands = np.zeros((len(part), 2 * BANDS), U)
                 for r in range(ROWS):
                     bands = W.mix(bands + rows[:, :, r] + U(r + 1))
-                bands = np.where((np.diff(begins) > 0)[:, None], bands, U(0)).astype(U).view(np.int64)
-                has = np.diff(begins) > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(has, BANDS, 0)))), pa.int32()), pa.array(bands[has].ravel()))
+                many = np.where(np.diff(begins) > 0, BANDS * (1 + repeats), 0)
+                given = np.arange(2 * BANDS) < many[:, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(bands[given].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), batch.column(2).slice(at, len(part)), lists], ["id", "same", "bands"])
                 at += len(part)
 
@@ -145,16 +159,18 @@ def _open(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _fine(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, fine): signatures of FINE registers of four bits each."""
+    """(id, fine): signatures of FINE registers of four bits each, by the counts and, of texts that repeat a
+    shingle, with all counts 1."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in W.chunks(batch.column(1), 1 << 18):
                 s, w, begins = weighted_shingles(part, size)
-                four = (signatures(s, w.astype(float), begins, FINE) >> U(60)).astype(np.uint8)
+                weighted, plain, repeats = both_signatures(s, w, begins, FINE)
+                four = (np.hstack((weighted, plain)) >> U(60)).astype(np.uint8)
                 packed = four[:, ::2] << 4 | four[:, 1::2]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([r[: FINE // 2 * (1 + twice)].tobytes() for r, twice in zip(packed, repeats, strict=True)], pa.binary())], ["id", "fine"])
                 at += len(part)
 
     return settle(_of(texts, ids).mapInArrow(signed, "id long, fine binary"), "fine", TEXT_ROWS)
@@ -165,8 +181,8 @@ def _further_pairs(mixed: DataFrame, fine: DataFrame, threshold: float, every: b
     and lie in different classes: all, or the likeliest of each stray text in a block.
 
     In each band the members outside the head's class meet all members, in blocks of texts with their `fine`
-    signatures and bands. Given back are only pairs whose estimate comes within four deviations of the
-    threshold, each from the first band that it shares. So a band with many members makes few rows, although
+    signatures and bands. Given back are only pairs of which an estimate, by the counts or of the distinct
+    shingles, comes within four deviations of the threshold, each from the first band that it shares. So a band with many members makes few rows, although
     each is compared.
     """
     strays = mixed.where("stray").groupBy("band", "value").agg(F.count("*").alias("k"))
@@ -175,15 +191,20 @@ def _further_pairs(mixed: DataFrame, fine: DataFrame, threshold: float, every: b
     least = int(FINE * (share - 4 * (share * (1 - share) / FINE) ** 0.5))
 
     def met(block: pa.Table) -> pa.Table:
-        ids, roots, left, stray, own = (np.array(block.column(c).to_pylist()) for c in ("id", "root", "left", "stray", "bands"))
-        fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(-1, FINE // 2)
+        ids, roots, left, stray = (np.array(block.column(c).to_pylist()) for c in ("id", "root", "left", "stray"))
+        own = np.array([x if len(x) > BANDS else x * 2 for x in block.column("bands").to_pylist()]).reshape(-1, 2, BANDS)
+        bits = block.column("fine").to_pylist()
+        repeats = np.array([len(x) > FINE // 2 for x in bits])
+        fine = np.frombuffer(b"".join(x if len(x) > FINE // 2 else x * 2 for x in bits), np.uint8).reshape(-1, 2, FINE // 2)
         band = block.column("band")[0].as_py()
         columns = np.flatnonzero(~left)
         a, b, equal, larger = [], [], [], []
         for i in np.flatnonzero(left):
             other = columns[(roots[columns] != roots[i]) & ~(stray[columns] & (ids[columns] < ids[i]))]
-            other = other[~(own[other, :band] == own[i, :band]).any(axis=1)]
-            same = _EQUAL[fine[other] ^ fine[i]].sum(axis=1, dtype=np.int64)
+            other = other[~(own[other, :, :band] == own[i, :, :band]).any(axis=(1, 2))]
+            same = _EQUAL[fine[other, 0] ^ fine[i, 0]].sum(axis=1, dtype=np.int64)
+            two = np.flatnonzero(repeats[other] | repeats[i])
+            same[two] = np.maximum(same[two], _EQUAL[fine[other[two], 1] ^ fine[i, 1]].sum(axis=1, dtype=np.int64))
             close = np.flatnonzero(same >= least)
             if not every and len(close):
                 close = close[[same[close].argmax()]]
@@ -215,7 +236,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     rows = settle(_signed(docs, id_col, text_col, size), "signed", TEXT_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     firsts = settle(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.max_by("bands", -F.col("id")).alias("bands")), "firsts")
-    banded = firsts.where("first is not null and size(bands) > 0").select(F.col("first").alias("id"), F.posexplode("bands").alias("band", "value"))
+    banded = firsts.where("first is not null and size(bands) > 0").select(F.col("first").alias("id"), F.explode(F.array_distinct(F.transform("bands", lambda v, i: F.struct((i % BANDS).alias("band"), v.alias("value"))))).alias("b")).select("id", "b.*")
     heads = banded.groupBy("band", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     met = settle(banded.join(heads, ["band", "value"]).select("band", "value", "id", "head"), "met")
     texts = settle(_of(texts, met.select("id")), "candidates")
@@ -255,6 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of one band are compared, first by longer signatures in blocks and then exactly: of each class the likeliest
     pair, then all that are left. Every candidate pair is compared, or lies in one class by verified links, or
     is ruled out by a signature of FINE registers (a pair at the threshold is ruled out with probability 3e-5).
+    Texts that repeat a shingle have bands and signatures both by the counts and of their distinct shingles, so
+    that a link by either measure is found with the same probability.
 
     Null text: a class of its own. Empty or all-space texts: equal ones are one class, without links. A null
     id is kept as a row, its class_id that of its text. Repeated ids: each row is returned, with the class of

@@ -89,3 +89,22 @@ def test_edges(spark):
 def test_words_end_where_the_pattern_says():
     h, begins, _, _ = P.W.words(pa.array(["a\tb\x0bc", "", " d ", "é é"], pa.large_string()))
     assert list(np.diff(begins)) == [3, 0, 1, 1] and int(h[3]) == P.W.word_hash("d")
+
+
+def repeated(k, times):
+    """Two texts with the same shingles but for four; the second repeats a line."""
+    words = [f"v{k}x{j}" for j in range(100)]
+    return " ".join(words), " ".join(words + words[20:32] * times)
+
+
+def test_copies_that_repeat_a_line_are_found(spark):
+    texts = {2 * k + j: t for k in range(12) for j, t in enumerate(repeated(k, 50))}
+    found = P.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == plain_classes(texts) == {i: i - i % 2 for i in texts}
+
+
+def test_fine_filter_keeps_pairs_that_are_near_by_either_measure(spark):
+    rows = spark.createDataFrame([(j, t, 5, 9, j, 2, j == 1, [k + 100 * j for k in range(P.BANDS)]) for j, t in enumerate(repeated(0, 50))], "id long, text string, band int, value long, root long, n long, stray boolean, bands array<long>")
+    fine = P._fine(rows.select("id", "text"), rows.select("id"), 5).join(rows.select("id", "bands"), "id")
+    got = P._further_pairs(rows.select("band", "value", "id", "root", "n", "stray"), fine, 0.8, True).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 0)]

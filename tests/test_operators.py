@@ -64,3 +64,21 @@ def test_chunks(spark):
     assert [b.department for b in blocks] == ["교통과", "안전과"] and blocks[0].end - blocks[0].start > 40
     verdicts = {r.claim: (r.verdict, r.method) for r in QUERIES["ground_quote"](spark, "").collect()}
     assert verdicts == {"a": ("accepted", "exact"), "b": ("needs_review", "exact"), "c": ("rejected", "missing"), "d": ("accepted", "fuzzy")}
+
+
+def test_recommend_has_all_candidate_sources(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from tenderspring.operators import ranking
+
+    rows = [(1, "초대형CCTV설치", [], "x", [0.0, 1.0]), (2, "스마트 쉘터 조성", [], "x", [0.0, 1.0]), (3, "other", [], "x", [1.0, 0.0]), (4, "other", [], "y", None), (5, "other", ["cctv"], "x", None), (6, "other", [], "x", None)]
+    live = spark.createDataFrame(rows, "opportunity_id long, title string, keywords array<string>, category string, embedding array<double>")
+    live = live.selectExpr("*", "'open' as status", "'11' as region_code", "100000000L as est_budget_krw", "0.5D as conversion_prob", "date'2026-01-01' as bid_window_start", "date'2026-02-01' as bid_window_end")
+    given = [(1, ["CCTV", " "], [], None), (2, ["스마트쉘터"], [], None), (3, ["마트 쉘"], [], None), (4, [], [], [1.0, 0.1]), (5, [], ["y"], None)]
+    profiles = spark.createDataFrame(given, "org_id long, p_keywords array<string>, p_categories array<string>, p_embedding array<double>").selectExpr("*", "cast(array() as array<string>) as p_exclude", "cast(array() as array<string>) as p_regions", "cast(null as long) as p_budget_min", "cast(null as long) as p_budget_max")
+    got = {}
+    for r in ranking.recommend(profiles, live, F.lit(date(2025, 11, 20))).collect():
+        got.setdefault(r.org_id, set()).add(r.opportunity_id)
+    assert got == {1: {1, 5}, 2: {2}, 3: {2}, 4: {1, 2, 3}, 5: {4}}

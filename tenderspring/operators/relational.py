@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,27 @@ def exclusive_quartiles(sorted_values: Column) -> tuple[Column, Column]:
     return at(1), at(3)
 
 
+def at_places(rows: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(key, n, one column for each of `places`): the value at a place, counted from 1, among a key's n values in
+    ascending order, nulls first; null where the place is outside. `places` are functions of n. Rows are counted
+    by value and the counts added up within narrow ranges of values and over them, so that no key's values
+    are gathered."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("_c"))
+    x = F.col(value).cast("double")
+    # Ranges grow by a 256th of an octave; their number rises with the value.
+    cell = F.when(x.isNull(), F.lit(float("-inf"))).when(F.isnan(x), F.lit(float("inf"))).otherwise(F.signum(x) * F.floor(F.log1p(F.abs(x)) * 256 / F.log(F.lit(2.0))).cast("double"))
+    counts = counts.withColumn("_cell", cell + F.lit(0.0))
+    of_key = Window.partitionBy(key)
+    cells = counts.groupBy(key, "_cell").agg(F.sum("_c").alias("_m"))
+    cells = cells.withColumns({"_before": F.sum("_m").over(of_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"), "n": F.sum("_m").over(of_key)})
+    cells = cells.select(F.col(key).alias("_key"), F.col("_cell").alias("_at"), "_before", "n")
+    both = counts.join(cells, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_at")))
+    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(key, "_cell").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = both.withColumn("_last", last)
+    holds = lambda place: (place > F.col("_last") - F.col("_c")) & (place <= F.col("_last"))
+    return ranked.groupBy(key).agg(F.max("n").alias("n"), *(F.max(F.when(holds(f(F.col("n"))), F.col(value))).alias(name) for name, f in places.items()))
+
+
 def upsert_actions(old: DataFrame, new: DataFrame, key: list[str], digest: str) -> DataFrame:
     """(key, action): created, updated or skipped for the rows of `new`, untouched for others of `old`."""
     a, b = old.select(*key, F.col(digest).alias("_old")), new.select(*key, F.col(digest).alias("_new"))

@@ -180,9 +180,15 @@ def conversion_cohorts(t: Tables) -> DataFrame:
 @query(_FIRSTS + """, x AS (SELECT first_type, list_sort(list(CAST(datediff('day', CAST(early AS DATE), CAST(bid AS DATE)) AS BIGINT))) AS d FROM f WHERE bid > early GROUP BY 1), n AS (SELECT *, len(d) AS n FROM x) SELECT first_type, n, CASE WHEN n % 2 = 1 THEN d[(n + 1) // 2]::DOUBLE ELSE (d[n // 2] + d[n // 2 + 1]) / 2.0::DOUBLE END AS median, CASE WHEN n >= 4 THEN (d[(n + 1) // 4] * (4 - (n + 1) % 4) + d[least((n + 1) // 4 + 1, n)] * ((n + 1) % 4)) / 4.0::DOUBLE END AS p25, CASE WHEN n >= 4 THEN (d[3 * (n + 1) // 4] * (4 - 3 * (n + 1) % 4) + d[least(3 * (n + 1) // 4 + 1, n)] * (3 * (n + 1) % 4)) / 4.0::DOUBLE END AS p75 FROM n""")
 def lead_time_quartiles(t: Tables) -> DataFrame:
     days = F.datediff(F.to_date("bid"), F.to_date("early")).cast("bigint")
-    rows = _firsts(t).where("bid > early").groupBy("first_type").agg(F.sort_array(F.collect_list(days)).alias("d"), F.percentile(days, 0.5).alias("median"))
-    p25, p75 = R.exclusive_quartiles(F.col("d"))
-    return rows.select("first_type", F.size("d").cast("bigint").alias("n"), "median", p25.alias("p25"), p75.alias("p75"))
+    whole = lambda x: F.floor(x).cast("bigint")
+    places = {"m1": lambda n: whole((n + 1) / 2), "m2": lambda n: whole(n / 2) + 1}
+    for k in (1, 3):
+        places |= {f"q{k}": lambda n, k=k: whole(k * (n + 1) / 4), f"r{k}": lambda n, k=k: F.least(whole(k * (n + 1) / 4) + 1, n)}
+    rows = R.at_places(_firsts(t).where("bid > early").select("first_type", days.alias("d")), "first_type", "d", places)
+    n = F.col("n")
+    part = lambda k: F.pmod(k * (n + 1), F.lit(4))
+    p25, p75 = (F.when(n >= 4, (F.col(f"q{k}") * (4 - part(k)) + F.col(f"r{k}") * part(k)) / F.lit(4.0)) for k in (1, 3))
+    return rows.select("first_type", "n", ((F.col("m1") + F.col("m2")) / 2.0).alias("median"), p25.alias("p25"), p75.alias("p75"))
 
 
 @query(_FIRSTS + "SELECT count(*) FILTER (WHERE bid IS NOT NULL) AS tenders, count(*) FILTER (WHERE early < bid) AS early, (count(*) FILTER (WHERE early < bid))::DOUBLE / nullif(count(*) FILTER (WHERE bid IS NOT NULL), 0) AS rate FROM f")
@@ -198,9 +204,8 @@ def having_min_samples(t: Tables) -> DataFrame:
 
 @query("""SELECT event_type, list_sort(list(value))[CAST(round_even(0.95 * count(*), 0) AS BIGINT)] AS p95, list_sort(list(value))[CAST(round_even(0.5 * count(*), 0) AS BIGINT)] AS p50 FROM events GROUP BY 1""")
 def latency_percentiles(t: Tables) -> DataFrame:
-    values = F.sort_array(F.collect_list("value"))
-    at = lambda p: F.element_at(values, F.bround(F.lit(p) * F.count("*"), 0).cast("int"))
-    return t.events.groupBy("event_type").agg(at(0.95).alias("p95"), at(0.5).alias("p50"))
+    at = lambda p: lambda n: F.bround(F.lit(p) * n, 0).cast("bigint")
+    return R.at_places(t.events, "event_type", "value", {"p95": at(0.95), "p50": at(0.5)}).select("event_type", "p95", "p50")
 
 
 @query("""SELECT event_id, user_id, CAST(sum(d) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance_after FROM (SELECT *, CAST(round(value * 100, 0) AS BIGINT) * CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END AS d FROM events)""")

@@ -54,3 +54,13 @@ def test_ngram_jaccard_compares_all_items(spark, tmp_path):
     wanted = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b and grams[a] | grams[b]}
     got = {(r.a, r.b): r.jaccard for r in QUERIES["ngram_jaccard"](spark, str(tmp_path)).collect()}
     assert len(got) == 62 * 61 // 2 and {k: got[k] for k in wanted} == pytest.approx(wanted)
+
+
+def test_percentiles_gather_no_values(spark, tmp_path):
+    rows = [("one", 4.0)] + [("many", (k * 37 % 101 - 50) / 7) for k in range(200)] + [("same", 2.5)] * 9
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["latency_percentiles"](spark, str(tmp_path))
+    many = sorted(v for k, v in rows if k == "many")
+    assert {r.event_type: (r.p95, r.p50) for r in df.collect()} == {"one": (4.0, None), "many": (many[189], many[99]), "same": (2.5, 2.5)}
+    for name in ("latency_percentiles", "lead_time_quartiles"):
+        assert "collect_list" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()

@@ -86,14 +86,17 @@ def linked(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
     rows = settle(once.select("conv", "turn", "role", "digest", "n_copies", parsed(F.col("text")).alias("p")), "messages")
     own = rows.select("conv", "turn", F.explode(units(F.col("p.body"))).alias("u")).select("conv", "turn", "u.hash")
     in_conversation = own.groupBy("conv", "hash").agg(F.min("turn").alias("first_turn"))
-    anywhere = own.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
+    # The first messages of two conversations: one of them isn't the asking one. Slices of a hash give theirs before they meet.
+    sliced = Window.partitionBy("hash", F.pmod(F.xxhash64("conv"), F.lit(64))).orderBy(F.col("conv").asc_nulls_first())
+    few = in_conversation.withColumn("_n", F.row_number().over(sliced)).where("_n <= 2")
+    anywhere = few.groupBy("hash").agg(F.slice(F.sort_array(F.collect_list(F.struct("conv", F.col("first_turn").alias("turn")))), 1, 2).alias("firsts"))
     # Every passage is looked up; what each message copies from where is summed before any message is gathered.
     asked = rows.where("size(p.passages) > 0").select("conv", "turn", "digest", F.explode("p.passages").alias("q")).select("conv", "turn", "digest", "q.level", F.explode(units(F.col("q.text"))).alias("u")).select("conv", "turn", "digest", "level", "u.hash", "u.size")
     near = asked.join(in_conversation.withColumnsRenamed({"conv": "c", "hash": "h"}), (F.col("hash") == F.col("h")) & F.col("conv").eqNullSafe(F.col("c")), "left").drop("c", "h")
     both = near.join(anywhere, "hash", "left")
     here = F.col("first_turn") < F.col("turn")
-    there = ~F.col("first.conv").eqNullSafe(F.col("conv"))
-    origin = F.when(here, F.struct(F.col("conv").alias("conv"), F.col("first_turn").alias("turn"))).when(there, F.col("first"))
+    there = F.get(F.filter("firsts", lambda x: ~x["conv"].eqNullSafe(F.col("conv"))), F.lit(0))
+    origin = F.when(here, F.struct(F.col("conv").alias("conv"), F.col("first_turn").alias("turn"))).otherwise(there)
     votes = both.select("conv", "turn", "digest", "level", "size", here.alias("here"), origin.alias("origin")).where("origin is not null")
     votes = votes.groupBy("conv", "turn", "digest", "here", "origin").agg(F.sum(F.when(F.col("level") == 1, F.col("size")).otherwise(0)).alias("outer"), F.sum("size").alias("size"))
     # Most of the outermost words wins, then a message of the same conversation, then the latest.

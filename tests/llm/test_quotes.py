@@ -42,3 +42,9 @@ def test_empty_and_extra_columns(spark):
     assert quotes.linked(empty).count() == 0
     extra = spark.createDataFrame([(1, 0, "u", "hi", "x", 3)], SCHEMA + ", body string, thread int")
     assert quotes.linked(extra).first().body == "hi"
+
+
+def test_a_quote_of_what_comes_later_here_links_to_another_conversation(spark):
+    rows = [(1, 0, "u", "> Same words.\nFirst"), (1, 1, "u", "Same words."), (2, 4, "u", "Same words."), (2, 6, "u", "Same words."), (3, 0, "u", "Same words."), (4, 0, "u", "> Same words.\nLast")]
+    got = {(r.conv_id, r.turn): (r.quoted_conversation, r.quoted_turn, r.reply_to) for r in quotes.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1, 0] == (2, 4, None) and got[4, 0] == (1, 1, None)

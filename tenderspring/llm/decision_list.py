@@ -14,12 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, held_out, settle
+from .shared import SPACES, held_out, scratch, settle
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Smallest number of words, and the largest share (in percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
+#: Labelled rows that rules are learned from at most: those with the smallest hashes of their ids.
+SAMPLE = 20_000
 FEATURES = ("n_words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "words_per_line")
 
 
@@ -197,19 +199,35 @@ def fit(labelled: DataFrame, s: str, quality: str, grow: str, n_thresholds: int
     return out
 
 
+def verdict(text: Column, learned: DecisionList) -> Column:
+    """A struct of the statistics, base_failed, rule (0, or the rule that rejects) and kept; one pass over the text."""
+
+    def judge(s: Column) -> Column:
+        failed, rule = base_failed(s), learned.rule(s)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper")
+        return F.struct(*(s[n].alias(n) for n in names), failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept"))
+
+    return _let(statistics(text), judge)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DecisionList:
+    """The list learned from the texts of at most `sample` labels of ids that held_out() doesn't name; a third
+    of them prunes. Labels without a document, with another quality than 0 or 1, or without an id are ignored."""
+    marked = labels.where(~held_out(F.col(id_col)) & F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"))
+    with scratch():
+        chosen = settle(marked.orderBy(F.xxhash64("id"), "id", "quality").limit(sample), "labels")
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+        rows = settle(rows.select("id", "quality", statistics(F.col("text")).alias("s"), (F.pmod(F.xxhash64("id"), F.lit(3)) != 0).alias("grow")), "statistics")
+        return fit(rows, "s", "quality", "grow")
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, result: str = "verdict") -> tuple[DataFrame, DecisionList]:
     """(rows, list). rows: for each row of docs the columns in `carry` (the id by default) and a struct
     named `result`: the statistics, base_failed, rule (0, or the rule that rejects) and kept.
 
-    Labels count for ids that held_out() doesn't name; of those a third prunes. Null text has no words and
-    isn't kept. Repeated ids: each row is judged by its own text. Labels without a document are ignored; an
-    empty table gives no rows and no rules. Extra columns don't matter, also one named like a statistic.
+    The list comes from learn(); every row is then judged by its own text, in the scan of docs. Null text has
+    no words and isn't kept. Repeated ids: each row is judged by its own text. An empty table gives no rows,
+    and no rules. Extra columns don't matter, also one named like a statistic.
     """
-    carry = carry or [id_col]
-    rows = settle(docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(id_col).alias("id"), statistics(F.col(text_col)).alias("s")), "statistics")
-    marked = labels.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), "quality").where("id is not null")
-    marked = rows.select("id", "s").join(marked, "id").withColumn("grow", F.pmod(F.xxhash64("id"), F.lit(3)) != 0)
-    learned = fit(marked, "s", "quality", "grow")
-    failed, rule = base_failed(F.col("s")), learned.rule(F.col("s"))
-    verdict = F.struct("s.*", failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept"))
-    return rows.select(*(F.col("row")[c].alias(c) for c in carry), verdict.alias(result)), learned
+    learned = learn(docs, labels, id_col, text_col)
+    return docs.select(*(F.col(f"`{c}`") for c in carry or [id_col]), verdict(F.col(f"`{text_col}`"), learned).alias(result)), learned

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import components
-from .shared import settle
+from .shared import scratch, settle
 
 U = np.uint64
 #: 80 registers as 20 bands of 4: a pair at 0.8 is missed with probability (1 - 0.8**4)**20, about 3e-5.
@@ -173,7 +173,9 @@ def _fine(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([r[: FINE // 2 * (1 + twice)].tobytes() for r, twice in zip(packed, repeats, strict=True)], pa.binary())], ["id", "fine"])
                 at += len(part)
 
-    return settle(_of(texts, ids).mapInArrow(signed, "id long, fine binary"), "fine", TEXT_ROWS)
+    # Long signatures take far longer than reading a text: they are dealt out evenly, however few files hold the texts.
+    dealt = _of(texts, ids).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return settle(dealt.mapInArrow(signed, "id long, fine binary"), "fine", TEXT_ROWS)
 
 
 def _further_pairs(mixed: DataFrame, fine: DataFrame, threshold: float, every: bool) -> DataFrame:
@@ -232,37 +234,39 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
-    """(id, same, class_id, n_links) for each row; `same` is the digest of its text."""
-    rows = settle(_signed(docs, id_col, text_col, size), "signed", TEXT_ROWS)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    firsts = settle(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.max_by("bands", -F.col("id")).alias("bands")), "firsts")
-    banded = firsts.where("first is not null and size(bands) > 0").select(F.col("first").alias("id"), F.explode(F.array_distinct(F.transform("bands", lambda v, i: F.struct((i % BANDS).alias("band"), v.alias("value"))))).alias("b")).select("id", "b.*")
-    heads = banded.groupBy("band", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = settle(banded.join(heads, ["band", "value"]).select("band", "value", "id", "head"), "met")
-    texts = settle(_of(texts, met.select("id")), "candidates")
-    stars = settle(met.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
-    links = settle(_verified(stars.groupBy("a").agg(F.min("b").alias("b")), texts, size, threshold), "head-links", TEXT_ROWS)
-    found = settle(components(links.where("linked").select("a", "b")), "head-classes")
-    apart = _apart(stars.join(links, ["a", "b"], "left_anti"), found)
-    links = settle(links.union(_verified(apart, texts, size, threshold)), "links", TEXT_ROWS)
-    found = settle(components(links.where("linked").select("a", "b")), "classes")
-    mixed = _open(met, found)
-    fine = _fine(texts, mixed.select("id"), size).join(firsts.select(F.col("first").alias("id"), "bands"), "id")
-    for every in (False, True):
-        more = settle(_further_pairs(mixed, fine, threshold, every), "more")
-        if more.isEmpty():
-            break
-        more = more.join(links.select("a", "b"), ["a", "b"], "left_anti")
-        if not every:
-            more = more.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.*")
-        links = settle(links.union(_verified(more.select("a", "b"), texts, size, threshold)), "links", TEXT_ROWS)
+    """(id, same, class_id, n_links) for each row; `same` is the digest of its text. Written once; what it took goes."""
+    with scratch():
+        rows = settle(_signed(docs, id_col, text_col, size), "signed", TEXT_ROWS)
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+        firsts = settle(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.max_by("bands", -F.col("id")).alias("bands")), "firsts")
+        banded = firsts.where("first is not null and size(bands) > 0").select(F.col("first").alias("id"), F.explode(F.array_distinct(F.transform("bands", lambda v, i: F.struct((i % BANDS).alias("band"), v.alias("value"))))).alias("b")).select("id", "b.*")
+        heads = banded.groupBy("band", "value").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+        met = settle(banded.join(heads, ["band", "value"]).select("band", "value", "id", "head"), "met")
+        texts = settle(_of(texts, met.select("id")), "candidates")
+        stars = settle(met.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+        links = settle(_verified(stars.groupBy("a").agg(F.min("b").alias("b")), texts, size, threshold), "head-links", TEXT_ROWS)
+        found = settle(components(links.where("linked").select("a", "b")), "head-classes")
+        apart = _apart(stars.join(links, ["a", "b"], "left_anti"), found)
+        links = settle(links.union(_verified(apart, texts, size, threshold)), "links", TEXT_ROWS)
         found = settle(components(links.where("linked").select("a", "b")), "classes")
-        mixed = mixed if every else _open(met, found)
-    ends = links.where("linked").select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
-    known = firsts.select("same", "first").join(found.withColumnRenamed("node", "first"), "first", "left").join(ends, "first", "left")
-    known = known.select("same", F.coalesce("root", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("id", "same").join(known, "same", "left")
-    return out.select("id", "same", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        mixed = _open(met, found)
+        fine = _fine(texts, mixed.select("id"), size).join(firsts.select(F.col("first").alias("id"), "bands"), "id")
+        for every in (False, True):
+            more = settle(_further_pairs(mixed, fine, threshold, every), "more")
+            if more.isEmpty():
+                break
+            more = more.join(links.select("a", "b"), ["a", "b"], "left_anti")
+            if not every:
+                more = more.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.*")
+            links = settle(links.union(_verified(more.select("a", "b"), texts, size, threshold)), "links", TEXT_ROWS)
+            found = settle(components(links.where("linked").select("a", "b")), "classes")
+            mixed = mixed if every else _open(met, found)
+        ends = links.where("linked").select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
+        known = firsts.select("same", "first").join(found.withColumnRenamed("node", "first"), "first", "left").join(ends, "first", "left")
+        known = known.select("same", F.coalesce("root", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        out = rows.select("id", "same").join(known, "same", "left")
+        out = out.select("id", "same", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        return settle(out, "classified", outer=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -290,13 +294,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without near-duplicates, all columns kept: of each class the row whose id is the class's.
 
-    Of rows that repeat both that id and its text one stays; of repeated ids with different texts of one
+    Of rows that repeat both that id and its text one stays, that with the smallest hash; of repeated ids with different texts of one
     class, the text with the smallest SHA-256. Rows with null text stay. Null ids stay only if no row of
     their class has an id, one for each text.
     """
     named = _classes(docs, id_col, text_col, size, threshold).where("same is not null and id <=> class_id")
-    stay = named.groupBy("id").agg(F.min("same").alias("_same")).withColumnRenamed("id", "_id")
-    rows = docs.where(F.col(text_col).isNotNull()).withColumns({"_key": F.col(id_col).cast("long"), "_digest": F.sha2(F.col(text_col), 256)})
-    once = rows.join(stay, (F.col("_digest") == F.col("_same")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
-    once = once.withColumn("_n", F.row_number().over(Window.partitionBy("_digest", "_key").orderBy(F.lit(0)))).where("_n = 1")
-    return once.select(*docs.columns).union(docs.where(F.col(text_col).isNull()))
+    stay = named.groupBy("id").agg(F.min("same").alias("same")).select(F.struct("id", "same").alias("key"))
+    text = F.col(f"`{text_col}`")
+    key = F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(text, 256).alias("same"))
+    rows = docs.where(text.isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    once = rows.join(stay, "key", "left_semi").withColumn("nth", nth).where("nth = 1")
+    return once.select(*(F.col("row")[c].alias(c) for c in docs.columns)).union(docs.where(text.isNull()))

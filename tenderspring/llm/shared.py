@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 _written: list[tuple[SparkSession, str]] = []
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,13 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the driver's Python ends."""
+def new_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A fresh path in the shared folder. What is written there goes when the innermost scratch() ends (outer:
+    the one around it), or when the driver's Python ends if there is none."""
     path = f"{shared_dir(spark)}/tenderspring/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
+    scopes = getattr(_scopes, "open", [])[: -1 if outer else None]
+    (scopes[-1] if scopes else _written).append((spark, path))
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables settled within go at its end, but for those settled with outer=True. So an operator leaves its
+    result alone on disk, however many intermediate tables it takes."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        *_scopes.open, mine = _scopes.open
+        for spark, path in mine:
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a path that new_path gave, with the Hadoop file system of that path."""
     jvm = spark.sparkContext._jvm
@@ -51,10 +70,11 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
-def settle(df: DataFrame, name: str = "table", batch_rows: int | None = None) -> DataFrame:
+def settle(df: DataFrame, name: str = "table", batch_rows: int | None = None, outer: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that later steps neither recompute it nor
-    depend on executors that may be lost. batch_rows: of Arrow batches meanwhile, for columns of long texts."""
-    spark, path, setting = df.sparkSession, new_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    depend on executors that may be lost. batch_rows: of Arrow batches meanwhile, for columns of long texts.
+    outer: the table outlives the innermost scratch()."""
+    spark, path, setting = df.sparkSession, new_path(df.sparkSession, name, outer), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     if batch_rows:
         spark.conf.set(setting, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))

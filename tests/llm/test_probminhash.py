@@ -86,6 +86,14 @@ def test_edges(spark):
     assert P.near_duplicates(df.limit(0)).count() == 0 and P.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_is_kept_whatever_the_columns_are_called(spark):
+    rows = [(1, "a b c", 7, 8, 9), (2, "a b c", 1, 2, 3), (3, "d e f", 4, 5, 6), (3, "d e f", 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, _digest long, _n long").selectExpr("*", "11 as _same", "12 as key", "13 as row", "14 as nth", "15 as _id", "16 as `a.b`")
+    got = sorted(map(tuple, P.keep_one(df).collect()))
+    assert P.keep_one(df).columns == df.columns
+    assert got == [(1, "a b c", 7, 8, 9, *range(11, 17)), (3, "d e f", 4, 5, 6, *range(11, 17))]
+
+
 def test_words_end_where_the_pattern_says():
     h, begins, _, _ = P.W.words(pa.array(["a\tb\x0bc", "", " d ", "é é"], pa.large_string()))
     assert list(np.diff(begins)) == [3, 0, 1, 1] and int(h[3]) == P.W.word_hash("d")

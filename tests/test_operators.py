@@ -82,3 +82,49 @@ def test_recommend_has_all_candidate_sources(spark):
     for r in ranking.recommend(profiles, live, F.lit(date(2025, 11, 20))).collect():
         got.setdefault(r.org_id, set()).add(r.opportunity_id)
     assert got == {1: {1, 5}, 2: {2}, 3: {2}, 4: {1, 2, 3}, 5: {4}}
+
+
+def test_long_exchanges_are_cut_after_a_full_stop(spark):
+    from tenderspring.operators import chunking
+
+    speech = "○위원 이영희 " + "예산을 반영해 주십시오. " * 300 + "\n○과장 박민수 " + "가" * 5000
+    docs = spark.createDataFrame([(1, "council_minutes", speech), (2, "council_minutes", "말이 없는 회의"), (3, "budget_book", "부서: 안전과\n세부사업: CCTV 설치  120,000"), (4, "bid_notice", "공고"), (5, None, "x" * 2000), (6, "etc", " "), (7, None, None)], "doc_id long, doc_type string, text string")
+    got = {}
+    for r in chunking.by_type(docs).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    parts = got[1]
+    assert [p.start for p in parts[1:]] == [p.end for p in parts[:-1]] and parts[0].start == 0 and parts[-1].end == len(speech)
+    assert all(p.kind == "exchange" and p.labels == ["위원 이영희", "과장 박민수"] and p.end - p.start <= chunking.MOST and p.text == speech[p.start : p.end] for p in parts)
+    assert parts[0].text.endswith(".") and not parts[-2].text.endswith(".")
+    assert [(k, [(r.kind, r.start, r.end) for r in v]) for k, v in got.items() if k > 1] == [(2, [("text", 0, 8)]), (3, [("budget_line", 8, 30)]), (4, [("record", 0, 2)]), (5, [("text", 0, 1500), ("text", 1300, 2000)])]
+    assert got[3][0].labels == ["안전과"]
+
+
+def test_threads_don_t_depend_on_how_they_are_summed_up(spark):
+    """2,000 signals of three institutions: running summaries give what summing up anew after every signal gives."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    names = ["스마트쉘터 구축", "CCTV 설치", "주차장 조성", "누리집 개편", "태양광 설치"]
+    rows = []
+    for k in range(600):
+        stage = ["council_mention", "budget_line", "order_plan", "prespec", "bid_notice", "award"][rng.integers(6)]
+        bid = f"B{rng.integers(60)}" if stage == "bid_notice" else None
+        rows.append((k, 1, f"LG-{rng.integers(3)}", stage, f"{names[rng.integers(5)]} {rng.integers(4)}", ["a", "b", "other"][rng.integers(3)], None, int(rng.integers(1, 9)) * 10**8 if rng.random() < 0.8 else None, None, None, None, [], dt.date(2025, 1, 1) + dt.timedelta(int(rng.integers(900))),
+                     f"P{rng.integers(90)}" if stage == "order_plan" else None, f"S{rng.integers(90)}" if stage == "prespec" else None, bid, [f"B{rng.integers(60)}"] if stage == "order_plan" else [], bid if bid and rng.random() < 0.3 else None, [float(x) for x in rng.normal(size=4)] if rng.random() < 0.9 else None))
+    prepared = linkage._prepared(spark.createDataFrame(rows, linkage.SIGNAL)).toPandas()
+    add = linkage._Thread.add
+
+    def anew(self, s):
+        self.any_live = False  # so that every addition sums up all signals
+        add(self, s)
+
+    one = linkage._fold(prepared.copy())
+    linkage._Thread.add = anew
+    try:
+        two = linkage._fold(prepared.copy())
+    finally:
+        linkage._Thread.add = add
+    pd.testing.assert_frame_equal(one, two)
+    assert set(one.method) == {"seed", "ref", "similarity"} and one.opportunity_id.nunique() > 50

@@ -19,6 +19,7 @@ _FRAMES = {
     "form": ['form', 'form class="search"', 'form id="login"', 'div class="newsletter signup"', 'form class="newsletter"', 'div class="contact-form"', 'fieldset', 'search', 'div role="search"'],
     "comments": ['section class="comments"', 'div id="comments"', 'div class="comment-list"', 'section id="disqus_thread"', 'ol class="commentlist"', 'div class="user-comments replies"', 'section class="reader-comments"', 'div class="discussion responses"', 'ul class="comments"', 'aside class="comments"'],
 }
+_LAYOUTS = ["", "", "", "", ' class="row"', ' class="col-12 inner"', ' class="wrapper"', ' class="container"', ' id="w1"', ' style="margin:0"']
 _ARTICLES = ['article', 'article', 'article', 'article class="post"', 'main', 'main id="content"', 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'div class="entry-content"', 'section class="story"', 'div class="article"', 'div class="article-body text"', 'div role="main"', 'section', 'div class="main"', 'div', 'td class="text"']
 
 
@@ -75,9 +76,26 @@ def _framed(r: random.Random, kind: str) -> str:
         inside = r.choice([_words(r, 1, 4), f"<h1>{_words(r, 1, 3)}</h1>", f"<h2>{_words(r, 1, 3)}</h2>" + paragraph(), f'<a href="/">{_words(r, 1, 3)}</a>' + _framed(r, "menu")])
     else:
         inside = r.choice([lambda: _sentences(r), lambda: paragraph() + r.choice(["", paragraph()]), lambda: f"<h3>{_words(r, 1, 4)}</h3>" + _links(r), lambda: f"<h2>{_words(r, 1, 4)}</h2>" + paragraph() + paragraph(), lambda: "&copy; 2024 " + _words(r, 2, 14), lambda: f"<h3>{_words(r, 1, 4)}</h3>" + "".join(paragraph() for _ in range(r.randint(1, 5)))])()
+    if tag not in ("ul", "ol", "menu", "p", "table") and r.random() < 0.25:
+        inside = _wrapped(r, inside)
     return f'<{frame} data-main="0">{inside}</{tag}>'
 
 
+def _wrapped(r: random.Random, inside: str) -> str:
+    """Within none to six elements that only lay out the page."""
+    for _ in range(r.choice([0, 0, 0, 0, 1, 1, 2, 3, 6])):
+        inside = f"<div{r.choice(_LAYOUTS)}>{inside}</div>"
+    return inside
+
+
+def _nested(r: random.Random, parts: list[str]) -> str:
+    """The parts, some of them in wrappers, in halves that lie in wrappers of their own, and so on."""
+    if len(parts) < 3 or r.random() < 0.5:
+        return "".join(_wrapped(r, p) if r.random() < 0.3 else p for p in parts)
+    half = r.randint(1, len(parts) - 1)
+    return "".join(f"<div{r.choice(_LAYOUTS)}>{_nested(r, p)}</div>" for p in (parts[:half], parts[half:]))
+
+
 def _article(r: random.Random, bare: bool = False) -> str:
     frame = r.choice(_ARTICLES) if not bare else "body"
     title = f"<{r.choice(['h1', 'h1', 'h2'])}>{_words(r, 1, 9)}</h1>"
@@ -107,9 +125,10 @@ def _article(r: random.Random, bare: bool = False) -> str:
             parts.append(_framed(r, r.choice(["advert", "sidebar", "form", "notice"])))
     if r.random() < 0.15:
         parts.append(_framed(r, r.choice(["comments", "footer", "sidebar"])))
+    body = _nested(r, parts) if r.random() < 0.35 else "".join(parts)
     if bare:
-        return "".join(parts)
-    inside = f'<{frame} data-main="1">{"".join(parts)}</{frame.split(" ")[0]}>'
+        return body
+    inside = f'<{frame} data-main="1">{_wrapped(r, body) if r.random() < 0.3 else body}</{frame.split(" ")[0]}>'
     return f"<table><tr>{inside}</tr></table>" if frame.startswith("td") else inside
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -64,13 +65,14 @@ class Trees:
     texts: list[tuple[int, str]]
 
     def add(self, page: str) -> None:
-        """Parses a page. Broken markup is read as browsers do in the plain cases: unclosed elements end with
-        their parents, a block ends an open paragraph, an end tag without a start is passed over."""
-        parent, depth, kind, label = self.parent, self.depth, self.kind, self.label
-        root = len(parent)
-        parent.append(-1), depth.append(0), kind.append(0), label.append(-1)
-        self.at.append(root), self.feature.append(0)
-        stack, names = [root], ["#"]
+        """Parses a page, however deep. Broken markup is read as browsers do in the plain cases: unclosed elements
+        end with their parents, a block ends an open paragraph, an end tag without a start is passed over. An
+        element whose only content is one other element is one node with it, so that bare wrappers don't loosen
+        the ties between a block and what it lies in."""
+        # Of this page: parent, kind, label, features of each node; the texts of leaves.
+        parent, kind, label, features, texts = [-1], [0], [-1], [set()], {}
+        features[0].add(0)
+        stack, names, open_tags = [0], ["#"], Counter("#")
         run: list[str] = []
         links = linked = 0
 
@@ -79,17 +81,22 @@ class Trees:
             text = " ".join("".join(run).split())
             run.clear()
             if text:
-                node, up = len(parent), stack[-1]
-                parent.append(up), depth.append(depth[up] + 1), kind.append(1), label.append(label[up])
-                for f in _shape(text, linked):
-                    self.at.append(node), self.feature.append(f)
-                self.texts.append((node, text))
+                texts[len(parent)] = text
+                label.append(label[stack[-1]])
+                parent.append(stack[-1]), kind.append(1), features.append(set(_shape(text, linked)))
             linked = 0
 
         def pop_to(k: int) -> None:
             close_run()
+            open_tags.subtract(names[k:])
             del stack[k:], names[k:]
 
+        def last_open(tag: str) -> int:
+            k = len(names) - 1
+            while names[k] != tag:
+                k -= 1
+            return k
+
         def words(raw: str) -> None:
             nonlocal linked
             if raw:
@@ -115,16 +122,16 @@ class Trees:
                     links = max(0, links - 1) if m[2] else links + 1
                 continue
             if m[2]:
-                if tag in names:
-                    pop_to(len(names) - 1 - names[::-1].index(tag))
+                if open_tags[tag] > 0:
+                    pop_to(last_open(tag))
                 elif tag == "p":
                     close_run()
                 continue
-            if tag not in _INSIDE_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
+            if tag not in _INSIDE_P and open_tags["p"] > 0:
+                k = last_open("p")
                 if not {"td", "th", "table", "button", "ins"} & set(names[k:]):
                     pop_to(k)
-            if tag in _ENDS:
+            if tag in _ENDS and any(open_tags[x] > 0 for x in _ENDS[tag][0]):
                 ends, stop = _ENDS[tag]
                 k = len(names) - 1
                 while k > 0 and names[k] not in stop:
@@ -135,15 +142,33 @@ class Trees:
             close_run()
             if tag == "hr":
                 continue
-            node, up = len(parent), stack[-1]
-            features, own = _element(tag, m[4])
-            parent.append(up), depth.append(depth[up] + 1), kind.append(0), label.append(own if own >= 0 else label[up])
-            for f in features:
-                self.at.append(node), self.feature.append(f)
-            if tag not in _VOID and len(stack) < 400:
-                stack.append(node), names.append(tag)
+            found, own = _element(tag, m[4])
+            up = stack[-1]
+            if tag not in _VOID:
+                stack.append(len(parent)), names.append(tag)
+                open_tags[tag] += 1
+            parent.append(up), kind.append(0), label.append(own if own >= 0 else label[up]), features.append(set(found))
         words(page[last:])
         close_run()
+        self._merge(parent, kind, label, features, texts)
+
+    def _merge(self, parent: list[int], kind: list[int], label: list[int], features: list[set[int]], texts: dict[int, str]) -> None:
+        """Takes over a page's nodes, an only child that is an element as one with its parent."""
+        children = Counter(parent)
+        to: list[int] = []
+        for k, up in enumerate(parent):
+            if up >= 0 and kind[k] == 0 and children[up] == 1:
+                to.append(to[up])
+                if label[k] >= 0:
+                    self.label[to[up]] = label[k]
+            else:
+                to.append(len(self.parent))
+                self.parent.append(to[up] if up >= 0 else -1), self.kind.append(kind[k]), self.label.append(label[k])
+                self.depth.append(self.depth[to[up]] + 1 if up >= 0 else 0)
+            if k in texts:
+                self.texts.append((to[k], texts[k]))
+        for node, f in sorted({(to[k], f) for k, own in enumerate(features) for f in own}):
+            self.at.append(node), self.feature.append(f)
 
 
 def _shape(text: str, linked: int) -> tuple[int, ...]:
@@ -251,8 +276,10 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     text: the blocks whose content marginal is one half or more, in page order, two line feeds between;
     character references decoded, white space within a block made one space. Null or empty html: empty text.
-    Text outside any element is a block too. Repeated rows and null ids are kept as they are. The model is
-    learned from `labelled` pages (the package's own by default), which are few and made for it.
+    Text outside any element is a block too. Repeated rows and null ids are kept as they are; an empty table
+    gives no rows. Elements may be nested to any depth, and pages of any length are read whole; a batch takes
+    about 1 MB of pages, or one longer page. The model is learned from `labelled` pages: by default those that
+    html_pages.labelled_pages() makes up by rules, as the corpus has no labelled ones.
     """
     shared = pages.sparkSession.sparkContext.broadcast(fit(labelled or labelled_pages()))
 

@@ -1,9 +1,12 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a vector of term weights; terms are bytes, hashed byte trigrams and repetitions, so that the
-dimension is fixed. The latent space comes from the eigenvectors of the corpus's tf-idf Gram matrix, which
-tasks add up over all texts. A bounded sample of labelled vectors is broadcast, and every text is compared
-with all of it, in blocks of exact cosine products.
+A text is a vector of term weights; terms are words (hashed, so that the dimension is fixed), bytes, hashed
+byte trigrams and repetitions. The latent space comes from the eigenvectors of the corpus's tf-idf Gram matrix,
+which tasks add up over all texts. A bounded sample of labelled vectors is broadcast, and every text is
+compared with all of it, in blocks of exact cosine products.
+
+Term weights are multiples of 1/64 and latent coordinates of 1/2048: sums of their products are then exact in
+floating point, in whatever order tasks and matrix products add them up, and a run gives what another gave.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ U = np.uint64
 TRIGRAMS = 124
 #: Words equal to the word before, words seen before in the text, lines seen before, and words in runs of five seen before.
 REPEATS = 4
-TERMS = 256 + TRIGRAMS + REPEATS
+#: Buckets of hashed words.
+WORDS = 640
+TERMS = 256 + TRIGRAMS + REPEATS + WORDS
 #: Latent dimensions; neighbours that vote; labelled rows of each class at most, those with the smallest hash of the id.
 LATENT, NEIGHBOURS, SAMPLE = 48, 15, 2048
 
@@ -53,12 +58,14 @@ def term_weights(texts: pa.Array) -> np.ndarray:
     runs, at = W.shingles(hashes, begins, 5)
     lines, line_begins, _, _ = _lines(raw, ends)
     same = (hashes[1:] == hashes[:-1]) & (word_owner[1:] == word_owner[:-1])
-    out[:, -4] = np.bincount(word_owner[1:][same], minlength=n)
-    out[:, -3] = _seen_before(hashes, word_owner, n)
-    out[:, -2] = 10 * _seen_before(lines, np.repeat(np.arange(n), np.diff(line_begins)), n)
-    out[:, -1] = _seen_before(runs, np.repeat(np.arange(n), np.diff(at)), n)
+    at_repeats = 256 + TRIGRAMS
+    out[:, at_repeats] = np.bincount(word_owner[1:][same], minlength=n)
+    out[:, at_repeats + 1] = _seen_before(hashes, word_owner, n)
+    out[:, at_repeats + 2] = 10 * _seen_before(lines, np.repeat(np.arange(n), np.diff(line_begins)), n)
+    out[:, at_repeats + 3] = _seen_before(runs, np.repeat(np.arange(n), np.diff(at)), n)
+    out[:, -WORDS:] = np.bincount(word_owner * WORDS + (hashes % U(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
     out[np.diff(begins) == 0] = 0
-    return np.log1p(1000 * out / np.maximum(sizes, 200)[:, None])
+    return np.rint(64 * np.log1p(1000 * out / np.maximum(sizes, 200)[:, None])) / 64
 
 
 def _lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,9 +88,9 @@ class Space:
     axes: np.ndarray
 
     def latent(self, weights: np.ndarray) -> np.ndarray:
-        """Unit vectors; a row of zeros stays zero."""
-        z = ((weights * self.idf) @ self.axes).astype(np.float32)
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        """Unit vectors, rounded to 1/2048; a row of zeros stays zero. Each coordinate is a sum of its own, in one order."""
+        z = np.einsum("ij,jk->ik", weights * self.idf, self.axes)
+        return (np.rint(2048 * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)) / 2048).astype(np.float32)
 
 
 def fit_space(docs: DataFrame, text_col: str = "text", latent: int = LATENT) -> Space:
@@ -139,13 +146,17 @@ def _vectors(rows: DataFrame, space: Space) -> DataFrame:
 
 def vote(latent: np.ndarray, labelled: np.ndarray, y: np.ndarray, weight: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Scores of unit vectors: the share of label 1 among the nearest labelled vectors, weighted by similarity
-    and by how many rows a labelled row stands for. 0 for zero vectors, and where nothing is similar."""
+    and by how many rows a labelled row stands for; of equally near ones the first in order. 0 for zero vectors,
+    and where nothing is similar."""
     out = np.zeros(len(latent))
     k = min(neighbours, len(labelled))
     for a in range(0, len(latent) if k else 0, 256):
         similar = latent[a : a + 256] @ labelled.T
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(similar, near, axis=1), 0) * weight[near]
+        least = np.partition(similar, len(labelled) - k, axis=1)[:, len(labelled) - k, None]
+        above, tied = similar > least, similar == least
+        taken = above | tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True))
+        near = np.nonzero(taken)[1].reshape(-1, k)
+        votes = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(float) * weight[near]
         whole = votes.sum(axis=1)
         out[a : a + 256] = np.divide((votes * y[near]).sum(axis=1), whole, out=np.zeros(len(whole)), where=whole > 0)
     return np.round(out, 6)
@@ -156,7 +167,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The space comes from all texts; voters are, of labelled ids that held_out() doesn't name, the `sample`
     of each class with the smallest hashes of their ids. Null and empty texts, and those without a word:
-    score 0. Rows that repeat are scored alike. Without labels all scores are 0. Extra columns aren't read.
+    score 0. Rows that repeat are scored alike. Of labelled texts that are equally near, the first by vector (then
+    label) vote. Without labels all scores are 0. Texts of any length count whole. No rows: none. Extra columns
+    aren't read.
     """
     spark: SparkSession = docs.sparkSession
     marked = labels.where(~held_out(F.col(id_col)) & F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("y")).distinct()
@@ -169,7 +182,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = _vectors(rows.join(F.broadcast(settle(chosen, "voters")), "id").select("y", "text"), space).collect()
     y = np.array([r["y"] for r in got], float)
     z = np.array([np.frombuffer(r["vector"], np.float32) for r in got], np.float32).reshape(len(got), LATENT)
-    order_of = np.lexsort(z.T) if len(got) else []
+    order_of = np.lexsort((y, *z.T)) if len(got) else []
     y, z = y[order_of], z[order_of]
     weight = np.array([counts[int(v)] / max(1, (y == v).sum()) for v in y])
     shared = spark.sparkContext.broadcast((space, z, y, weight))

@@ -79,7 +79,8 @@ def linked(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
 
     Rows equal in all four columns are one message, n_copies counts them. Null text: no words. Null
     conversations are one conversation; a null turn comes first and has no reply. Several messages with one
-    turn: what one of them replies to, all do. Empty table: no rows. Extra columns aren't read.
+    turn: what one of them replies to, all do. Messages of any length are parsed whole, in memory of a few times
+    their size. Empty table: no rows. Extra columns aren't read.
     """
     given = messages.select(F.col(conversation).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     once = given.groupBy("conv", "turn", "role", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("n_copies"))
@@ -114,6 +115,16 @@ def linked(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
     )
 
 
+def conversations(rows: DataFrame, conversation: str = "conv_id", most: int = _BLOCK) -> DataFrame:
+    """conversation, part, messages: what linked() gives as reply-ordered conversations without quotes. messages
+    is an array of (turn, role, body, reply_to) in reply order; a conversation of more than `most` messages is
+    told in parts of so many, numbered from 0, so that none is gathered whole. Messages that repeat are one."""
+    part = F.floor(F.col("reply_rank") / most).alias("part")
+    said = F.struct("reply_rank", "turn", "role", "body", "reply_to")
+    gathered = rows.groupBy(conversation, part).agg(F.sort_array(F.collect_list(said)).alias("all"))
+    return gathered.select(conversation, "part", F.transform("all", lambda x: F.struct(*(x[n].alias(n) for n in ("turn", "role", "body", "reply_to")))).alias("messages"))
+
+
 def _threads(links: DataFrame) -> DataFrame:
     """(conv, turn, to, root, depth) of links(conv, turn, to), to < turn: each round doubles how far a turn sees."""
     now = settle(links.select("conv", "turn", "to", F.col("to").alias("root"), F.lit(1).alias("depth")), "links")

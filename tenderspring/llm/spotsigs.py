@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
@@ -27,8 +27,8 @@ ANCHORS = tuple(
     "au aux avec ce dans de des du elle en est et il la le les ne par pas pour que qui sur un une "
     "al con del el en es las lo los más no para pero por se su una uno y".split()
 )
-#: Content words in a chain.
-CHAIN = 3
+#: Content words in a chain; signatures, the most frequent, that are told to all tasks by similar_pairs().
+CHAIN, COMMON = 3, 100_000
 
 
 def signatures(texts: pa.Array, anchors: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -107,26 +107,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fingerprint array<long>")
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness), a < b: pairs of different fingerprints with Jaccard of threshold or more, each named
-    by the smallest id that has it; (with a = b, likeness 1: an id, as `member`, and the one that names it).
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, twin) for each row: the smallest id whose text has the same fingerprint. A null id is its own twin
+    only if no row of its fingerprint has an id. Empty fingerprints are one class. No rows: none."""
+    prints = fingerprints(docs, id_col, text_col).select("id", F.sha2(F.array_join("fingerprint", ","), 256).alias("print"))
+    prints = settle(prints, "fingerprints")
+    return prints.join(prints.groupBy("print").agg(F.min("id").alias("twin")), "print").select("id", "twin")
 
-    Lengths are partitioned so that two sets can only reach the threshold in the same partition or in
-    neighbours. Only the rarest signatures of a set, as many as it can miss and one more, look for partners.
+
+def _partition(n: Column, threshold: float) -> Column:
+    """Set lengths n fall into partitions so that two sets only reach the threshold in one or in neighbours."""
+    return F.floor(F.log(n.cast("double")) / -np.log(threshold) + 1e-9).cast("int")
+
+
+def _prefixes(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, part, s) of sets(id, fingerprint): the signatures that look for partners, as many as a set can miss
+    and one more, those first that aren't in `common`(s, df), then by df. Two sets that reach the threshold share one."""
+    frequent = common.sparkSession.sparkContext.broadcast({r["s"]: r["df"] for r in common.collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.array(sorted(frequent.value), np.int64)
+        df = np.array([frequent.value[k] for k in keys.tolist()], np.int64)
+        for batch in batches:
+            lists = batch.column(1)
+            s, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(keys, s), max(len(keys) - 1, 0))
+            order = np.lexsort((s, np.where(keys[at] == s, df[at], 0) if len(keys) else np.zeros(len(s)), owner))
+            take = np.maximum(1, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1)
+            rank = np.arange(len(s)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else [], n).astype(np.int64)
+            keep = rank < take[owner]
+            chosen, of = s[order][keep], owner[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(chosen)], ["id", "n", "s"])
+
+    rows = sets.select("id", "fingerprint").mapInArrow(run, "id long, n int, s long")
+    return rows.withColumn("part", _partition(F.col("n"), threshold))
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, queries: Column | None = None) -> DataFrame:
+    """(a, b, likeness): pairs of different fingerprints with Jaccard of threshold or more, each named by the
+    smallest id that has it (classes() tells which rows those stand for). a < b; with `queries`, a condition on
+    `id`, a is a fingerprint for which it holds and b any other.
+
+    Fingerprints are partitioned by set length, and only the rarest signatures of a set, as many as it can miss
+    and one more, look for partners in its partition and the neighbours; of two sets found only the intersection
+    is counted. At most COMMON signatures, the most frequent, are told to all tasks to rank by; any order gives
+    the same pairs. Nulls, texts without signatures and rows without an id have no pairs; no rows: none.
     """
-    prints = settle(fingerprints(docs, id_col, text_col).where(F.size("fingerprint") > 0), "fingerprints")
-    named = settle(prints.groupBy(F.xxhash64("fingerprint").alias("key"), "fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint", F.size("fingerprint").alias("n")), "named")
-    part = F.floor(F.log(F.col("n").cast("double")) / -np.log(threshold)).cast("int")
-    sets = named.withColumn("part", part)
-    each = sets.select("id", "n", "part", F.explode("fingerprint").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = each.join(often, "s").groupBy("id", "n", "part").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    prefix = ranked.select("id", "n", "part", F.explode(F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("e")).select("id", "n", "part", F.col("e.s").alias("s"))
-    x = prefix.select("s", F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1)).alias("part"))
+    prints = fingerprints(docs, id_col, text_col).where("id is not null").where(F.size("fingerprint") > 0)
+    sets = settle(prints.groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint"), "sets")
+    often = sets.select(F.explode("fingerprint").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    common = settle(often.orderBy(F.col("df").desc(), "s").limit(COMMON), "common")
+    prefix = settle(_prefixes(sets, common, threshold), "prefixes")
+    asking = prefix if queries is None else prefix.where(queries)
+    x = asking.select("s", F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1)).alias("part"))
     y = prefix.select("s", F.col("id").alias("b"), F.col("n").alias("n_b"), "part")
-    pairs = x.join(y, ["s", "part"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
-    full = named.select("id", "fingerprint")
-    met = pairs.join(full.toDF("a", "fa"), "a").join(full.toDF("b", "fb"), "b")
+    apart = F.col("a") < F.col("b") if queries is None else F.col("a") != F.col("b")
+    pairs = x.join(y, ["s", "part"]).where(apart & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
+    met = pairs.join(sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
     both = F.size(F.array_intersect("fa", "fb"))
     return met.select("a", "b", (both / (F.size("fa") + F.size("fb") - both)).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
 

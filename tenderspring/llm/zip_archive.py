@@ -138,20 +138,26 @@ def directory(f: BinaryIO, size: int) -> dict[str, tuple[int, int]]:
 
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload: Column | None = None, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): what each row is to be written as. refers_to is the smallest
-    page_id of equal payloads, null where that is the row itself or the payload has under least_bytes."""
+    """(page_id, url, html, sha1, refers_to): what each row is to be written as. refers_to is the smallest
+    page_id of equal payloads, null where that is the row itself or the payload has under least_bytes.
+
+    What refers to what is found from ids and digests alone; payloads then meet it by their own id and digest, so
+    that no task gets all copies of a common payload. Null html is empty. A null page_id comes last: it is a
+    response only if no row of its payload has an id. An empty table gives no rows.
+    """
     html = F.coalesce(payload if payload is not None else F.col("html"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    # A null page_id comes last: it is a response only if no row of its payload has an id.
     firsts = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(firsts, "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
+    each = rows.select("page_id", "sha1").distinct().join(firsts, "sha1").where(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
+    refers = each.select(F.struct("page_id", "sha1").alias("key"), F.col("first").alias("refers_to"))
+    return rows.withColumn("key", F.struct("page_id", "sha1")).join(refers, "key", "left").select("page_id", "url", "html", "sha1", "refers_to")
 
 
 def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Writes what planned() gives to archives in `folder`, one for a partition, in one pass and bounded
     memory; returns (path, bytes, records), a row for each archive. The folder can be any that pyarrow's file
-    systems reach. A task that is run again writes another file, and only that of its last run is returned."""
+    systems reach. A task that is run again writes another file, and only that of its last run is returned.
+    A task holds one record at a time, so its memory is that of the longest payload. No rows: no archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -190,7 +196,8 @@ def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
 def read_archives(archives: DataFrame, path_col: str = "path", run_records: int = 512) -> DataFrame:
     """The records of the archives whose paths are given: page_id, url, record_type, refers_to, payload_bytes,
     payload_digest, payload (empty for a revisit), archive. Ranges of records, run_records each, are dealt out
-    to tasks, so that a large archive is read by many."""
+    to tasks, so that a large archive is read by many: to as many as the session has slots, and to more where
+    each would get over eight ranges. No archives: no rows. Payloads of any length are read whole, one at a time."""
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,8 +233,10 @@ def read_archives(archives: DataFrame, path_col: str = "path", run_records: int
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "archive"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-    ranges = archives.select(path_col).mapInArrow(located, "path string, offsets array<long>, lengths array<long>")
-    spread = ranges.repartition(F.xxhash64("path", F.get("offsets", F.lit(0))))
+    ranges = settle(archives.select(path_col).mapInArrow(located, "path string, offsets array<long>, lengths array<long>"), "ranges")
+    many = ranges.count()
+    tasks = max(1, min(many, max(archives.sparkSession.sparkContext.defaultParallelism, -(-many // 8))))
+    spread = ranges.repartition(tasks, F.xxhash64("path", F.get("offsets", F.lit(0))))
     return spread.mapInArrow(fetched, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string")
 
 

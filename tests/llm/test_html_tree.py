@@ -56,6 +56,35 @@ def test_frames_and_markup(model):
     assert H.main_text([page], model)[0][0] == "Title & more\n\nFirst para, with bold words.\n\nSecond."
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 4, 5, 8, 20, 50, 500, 5000])
+def test_article_text_stays_however_deep_it_lies(model, depth):
+    """Wrappers around one paragraph, around two, and each paragraph in wrappers of its own."""
+    one, two = "The council met again in spring, and after a long debate it agreed to build the new bridge, which is to open in two years. " * 2, "A second paragraph follows the first, with some more words."
+    wrapped = lambda x: "<div>" * depth + x + "</div>" * depth
+    around = '<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>{}<footer><p>&copy; 2024 Site</p></footer></body></html>'
+    head, paragraphs = "<h1>The new bridge</h1>", [f"<p>{one}</p>", f"<p>{two}</p>"]
+    for inside, wanted in (
+        (head + wrapped(paragraphs[0]), ["The new bridge", one]), (head + wrapped("".join(paragraphs)), ["The new bridge", one, two]),
+        (head + "".join(map(wrapped, paragraphs)), ["The new bridge", one, two]), (wrapped(head + "".join(map(wrapped, paragraphs))), ["The new bridge", one, two]),
+    ):
+        assert H.main_text([around.format(f"<article>{inside}</article>")], model)[0][0] == "\n\n".join(x.strip() for x in wanted)
+
+
+def test_halves_of_halves_in_wrappers(model):
+    def tree(parts, level):
+        return parts[0] if len(parts) == 1 else "".join(f"<div>{tree(p, level + 1)}</div>" for p in (parts[: len(parts) // 2], parts[len(parts) // 2 :]))
+
+    said = [f"Paragraph number {k} tells what happened then, at some length, and who was there." for k in range(16)]
+    page = f'<body><header><h2>Site</h2></header><article>{tree([f"<p>{x}</p>" for x in said], 0)}</article><aside class="sidebar"><h3>More</h3><ul><li><a href="/">x</a></li></ul></aside></body>'
+    assert H.main_text([page], model)[0][0] == "\n\n".join(said)
+
+
+def test_end_tags_close_the_right_element_at_any_depth(model):
+    page = "<body><article><p>Before the deep part, a sentence.</p>" + "<div>" * 1200 + "<p>Deep words are here, in a sentence.</p>" + "</div>" * 1200 + "</article><footer>&copy; Site</footer><nav><a href=/>x</a></nav>"
+    t = H.trees([page])
+    assert [t.depth[n] for n, _ in t.texts][0] <= 4 and H.main_text([page], model)[0][0] == "Before the deep part, a sentence.\n\nDeep words are here, in a sentence."
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>x y.</p></article>"), (4, "u", "<<<>>&&&"), (5, "u", "<div>" * 3000 + "deep"), (5, "u", "<p")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")

@@ -44,4 +44,69 @@ def test_edges(spark):
 
 def test_terms_of_a_long_text():
     x = Q.term_weights(pa.array(["ab " * 200_000, "", "ab"], pa.large_string()))
-    assert np.isfinite(x).all() and not x[1].any() and x[0, -4] > x[2, -4]
+    assert np.isfinite(x).all() and not x[1].any() and x[0, 256 + Q.TRIGRAMS + 1] > x[2, 256 + Q.TRIGRAMS + 1]
+
+
+def test_equally_near_voters_count_in_order():
+    rows = np.array([[1.0, 0.0]], np.float32)
+    voters = np.array([[0.5, 0.5], [1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]], np.float32)
+    assert Q.vote(rows, voters, np.array([1.0, 0, 1, 1, 1]), np.ones(5), 2)[0] == 0.5
+    assert Q.vote(rows, voters, np.array([1.0, 0, 1, 1, 1]), np.ones(5), 3)[0] == 0.666667
+
+
+def test_term_weights_against_plain_counts():
+    texts = ["a b a\nline here now\nline here now", "héllo wörld", "x"]
+    got = Q.term_weights(pa.array(texts, pa.large_string()))
+    for t, row in zip(texts, got, strict=True):
+        raw, words = t.encode(), t.split()
+        want = np.zeros(Q.TERMS)
+        for c in raw:
+            want[c] += 1
+        at = 256 + Q.TRIGRAMS
+        want[at] = sum(x == y for x, y in zip(words, words[1:], strict=False))
+        want[at + 1] = len(words) - len(set(words))
+        lines = [x for x in t.split("\n") if x]
+        want[at + 2] = 10 * (len(lines) - len(set(lines)))
+        runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        want[at + 3] = len(runs) - len(set(runs))
+        for w in words:
+            want[Q.TERMS - Q.WORDS + Q.W.word_hash(w) % Q.WORDS] += 1
+        want = np.rint(64 * np.log1p(1000 * want / max(200, len(raw)))) / 64
+        trigrams = slice(256, 256 + Q.TRIGRAMS)
+        assert (np.delete(row, np.r_[trigrams]) == np.delete(want, np.r_[trigrams])).all() and (row[trigrams] > 0).sum() <= max(0, len(raw) - 2)
+
+
+def test_the_whole_query_against_brute_force_and_in_any_order(spark):
+    """Every score from the definition: tf-idf Gram matrix of all texts, its leading eigenvectors, cosines with
+    the sampled voters, the nearest of them; the same to the last digit however rows are dealt out."""
+    docs, labels = table(spark, SF, "documents").where("doc_id < 300").select("doc_id", "text"), table(spark, SF, "labels")
+    got = {r.id: r.score for r in Q.scored(docs, labels).collect()}
+    assert got == {r.id: r.score for r in Q.scored(docs.repartition(7), labels).collect()}
+    rows = docs.collect()
+    x = {r.doc_id: Q.term_weights(pa.array([r.text], pa.large_string()))[0] for r in rows}
+    every = np.array(list(x.values()))
+    idf = np.log((1 + len(rows)) / (1 + (every > 0).sum(axis=0))) + 1
+    _, v = np.linalg.eigh((every.T @ every) * idf[:, None] * idf[None, :])
+    axes = v[:, ::-1][:, : Q.LATENT]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(Q.LATENT)] < 0, -1, 1)
+
+    def latent(w):
+        z = np.array([(w * idf * axes[:, k]).sum() for k in range(Q.LATENT)])
+        return np.rint(2048 * z / max(np.linalg.norm(z), 1e-12)) / 2048
+
+    import zlib
+
+    marked = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    voters = [(tuple(latent(x[r.doc_id])), r.quality) for r in marked if r.doc_id in x]
+    stands_for = {y: sum(r.quality == y for r in marked) / sum(q == y for _, q in voters) for y in (0, 1)}
+    wrong = 0
+    for i, w in x.items():
+        z = latent(w)
+        near = sorted(((-float(np.dot(z, t)), t[::-1], y) for t, y in voters))
+        least = near[Q.NEIGHBOURS - 1][0]
+        # Which of several equally near voters vote is told by their order; here only rows without such ties count.
+        if near[Q.NEIGHBOURS][0] != least:
+            votes = [(max(0.0, -s) * stands_for[y], y) for s, _, y in near[: Q.NEIGHBOURS]]
+            want = sum(s * y for s, y in votes) / sum(s for s, _ in votes)
+            wrong += abs(got[i] - want) > 2e-3
+    assert wrong <= 3

@@ -65,3 +65,32 @@ def test_edges(spark):
     assert S.edited_comparison(df.limit(0)).count() == 0
     one = S.edited_comparison(df.where("id = 1 and text = 'Hello world, foo the bar'")).first()
     assert one.near_next == 1.0
+
+
+def test_classes_and_pairs_cover_every_link(spark):
+    """Copies are told by their class, links by pairs of representatives: together all that brute force finds."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id % 3 = 0").selectExpr("doc_id + 5000", "text")).union(spark.createDataFrame([(9001, None), (9002, ""), (9003, "the"), (9004, "the")], docs.schema))
+    prints = {r.id: frozenset(r.fingerprint) for r in S.fingerprints(docs).collect()}
+    twin = {r.id: r.twin for r in S.classes(docs).collect()}
+    firsts = {}
+    for i, f in prints.items():
+        firsts[f] = min(i, firsts.get(f, i))
+    assert twin == {i: firsts[f] for i, f in prints.items()}
+    linked = {(r.a, r.b) for r in S.similar_pairs(docs).collect()}
+    for x, y in itertools.combinations(sorted(i for i in prints if prints[i]), 2):
+        near = len(prints[x] & prints[y]) >= 0.8 * len(prints[x] | prints[y])
+        assert near == (twin[x] == twin[y] or tuple(sorted((twin[x], twin[y]))) in linked)
+    asked = {(r.a, r.b) for r in S.similar_pairs(docs, queries=S.F.col("id") % 10 == 0).collect()}
+    assert asked == {p for a, b in linked for p in ((a, b), (b, a)) if p[0] % 10 == 0}
+    assert S.similar_pairs(docs.limit(0)).count() == 0 and S.classes(docs.limit(0)).count() == 0
+
+
+def test_any_order_of_signatures_gives_the_same_pairs(spark):
+    docs, before = table(spark, SF, "documents"), S.COMMON
+    one = {(r.a, r.b) for r in S.similar_pairs(docs).collect()}
+    S.COMMON = 3
+    try:
+        assert {(r.a, r.b) for r in S.similar_pairs(docs).collect()} == one
+    finally:
+        S.COMMON = before

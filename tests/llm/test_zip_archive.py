@@ -71,3 +71,9 @@ def test_small_payloads_are_all_responses(spark):
     rows = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "u", "long enough"), (4, "u", "long enough")], "page_id long, url string, html string")
     found = {r.page_id: r.record_type for r in Z.round_trip(rows, least_bytes=5).collect()}
     assert found == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_read_back_is_dealt_out_to_several_tasks(spark):
+    rows = spark.range(3000).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, '', concat('page ', id)) as html")
+    found = Z.round_trip(rows.repartition(2))
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 3000

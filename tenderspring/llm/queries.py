@@ -70,13 +70,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-#: Classes of texts with plain Jaccard of 0.8 or more over five-word shingles, by brute force.
+#: Classes of texts with plain Jaccard of 0.8 or more over five-word shingles, or probability Jaccard of their
+#: counts, by brute force. The latter is at most the sum of the smaller shares, which rules most pairs out.
 _OP2 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t\n\x0B\f\r]+') if x <> ''] AS w FROM documents),
-s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN [hash(w[i:i + 4]) for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [hash(w)] ELSE [] END)) AS g FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c) UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id),
+s AS (SELECT doc_id, g, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [hash(w[i:i + 4]) for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [hash(w)] ELSE [] END) AS g FROM w) GROUP BY 1, 2),
+t AS (SELECT doc_id, count(*) AS n, sum(n) AS total, max(n) > 1 AS repeats FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, sum(least(a.n / x.total, b.n / y.total)) AS least_shares, any_value(x.n + y.n) AS n, any_value(x.repeats OR y.repeats) AS repeats FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN t x ON x.doc_id = a.doc_id JOIN t y ON y.doc_id = b.doc_id GROUP BY 1, 2),
+plain AS (SELECT a, b FROM p WHERE 10 * c >= 8 * (n - c)),
+may AS (SELECT a, b FROM p WHERE repeats AND 10 * c < 8 * (n - c) AND least_shares >= 0.8 - 1e-9),
+u AS (SELECT a, b, g, sum(na) AS na, sum(nb) AS nb FROM (SELECT a, b, g, n AS na, 0 AS nb FROM may JOIN s ON doc_id = a UNION ALL SELECT a, b, g, 0, n FROM may JOIN s ON doc_id = b) GROUP BY 1, 2, 3),
+z AS (SELECT d.a, d.b, d.g, sum(greatest(e.na / d.na, e.nb / d.nb)) AS z FROM u d JOIN u e ON d.a = e.a AND d.b = e.b WHERE d.na > 0 AND d.nb > 0 GROUP BY 1, 2, 3),
+weighted AS (SELECT a, b FROM z GROUP BY 1, 2 HAVING sum(1 / z) >= 0.8 - 1e-12),
+e AS (SELECT a, b FROM plain UNION SELECT a, b FROM weighted UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
 SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1

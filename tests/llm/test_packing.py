@@ -50,9 +50,8 @@ def test_little_padding():
 
 def test_pieces_hold_the_tokens_of_the_other_library(spark):
     docs = table(spark, SF, "documents")
-    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, ""), (None, "a <|endoftext|> b")], "doc_id long, text string"))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, ""), (None, "a <|endoftext|> b"), (9003, "<|endoftext|><|endoftext|>x"), (9004, "<|endoftext |> é <|endoftext|>\n 12")], "doc_id long, text string"))
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode.encode_special_tokens = True
     parts, sequences = defaultdict(list), defaultdict(list)
     for r in P.packed(docs.selectExpr("*", "1 as rank", "2 as row")).collect():
         parts[r.doc_id].append(r)

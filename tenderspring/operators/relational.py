@@ -25,7 +25,7 @@ def latest_by(rows: DataFrame, key: str, order: list[str], keep: list[str]) -> D
 def first_seen_mode(rows: DataFrame, key: str, value: str, position: list[str]) -> DataFrame:
     """(key, value): the most frequent non-null value of each key; ties go to the value seen first."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(F.struct(*position)).alias("first"))
-    return counts.groupBy(key).agg(F.max_by(value, F.struct("n")).alias("_any"), F.max("n").alias("n")).drop("_any").join(counts, [key, "n"]).groupBy(key).agg(F.min_by(value, "first").alias(value))
+    return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), "first")).alias(value))
 
 
 def cohort_rates(rows: DataFrame, group: str, detail: str, converted: Column) -> DataFrame:
@@ -93,8 +93,8 @@ def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def running_balance(entries: DataFrame, account: str, order: list[str], delta: str) -> DataFrame:
-    """entries with balance_after, the sum of an account's deltas so far. Accounts with very many entries are
-    summed in blocks of the order first; `order` must be a total order within an account."""
+    """entries with balance_after, the sum of an account's deltas so far. The entries of an account
+    are ordered in one task, which holds one at a time; `order` must be a total order within an account."""
     within = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return entries.withColumn("balance_after", F.sum(delta).over(within))
 

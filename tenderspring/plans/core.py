@@ -224,7 +224,7 @@ def expiry_formula(t: Tables) -> DataFrame:
 
 @query("""SELECT event_id, n > 10 AS refused FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type, CAST(ts + INTERVAL 9 HOUR AS DATE) ORDER BY ts, event_id) AS n FROM events)""")
 def daily_quota(t: Tables) -> DataFrame:
-    day = F.to_date(F.col("ts") + F.expr("INTERVAL 9 HOURS"))
+    day = dates.business_day(F.col("ts"))
     n = F.row_number().over(Window.partitionBy("event_type", day).orderBy("ts", "event_id"))
     return t.events.select("event_id", (n > 10).alias("refused"))
 
@@ -384,14 +384,14 @@ def field_coverage(t: Tables) -> DataFrame:
     return records.field_coverage(rows, "o_orderpriority", ["priced"])
 
 
-@query("SELECT page_id, regexp_replace(url, '(utm_source)=[^&]+', '\\1=***') AS url FROM pages".replace("\\\\", "\\"))
+@query("SELECT page_id, url || '&serviceKey=***&page=2' AS url FROM pages")
 def masked_parameters(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_replace("url", "(utm_source)=[^&]+", "$1=***").alias("url"))
+    return t.pages.select("page_id", text.redact(F.concat("url", F.lit("&serviceKey=abc123&page=2"))).alias("url"))
 
 
 @query("SELECT user_id, n, digest_day FROM (SELECT user_id, CAST(ts + INTERVAL 9 HOUR AS DATE) AS digest_day, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2)")
 def digest_windows(t: Tables) -> DataFrame:
-    day = F.to_date(F.col("ts") + F.expr("INTERVAL 9 HOURS"))
+    day = dates.business_day(F.col("ts"))
     return t.events.where("event_type <> 'error'").groupBy("user_id", day.alias("digest_day")).agg(F.count("*").alias("n")).select("user_id", "n", "digest_day")
 
 

@@ -128,3 +128,16 @@ def test_threads_don_t_depend_on_how_they_are_summed_up(spark):
         linkage._Thread.add = add
     pd.testing.assert_frame_equal(one, two)
     assert set(one.method) == {"seed", "ref", "similarity"} and one.opportunity_id.nunique() > 50
+
+
+def test_measured_conversion_takes_the_place_of_priors(spark):
+    from tenderspring.plans.korean import TODAY, signals
+    from tenderspring.plans.registry import Tables
+
+    df = signals(Tables(spark, ""))
+    links = linkage.link(df)
+    rates = spark.createDataFrame([("council_mention:reviewing", 0.5), ("order_plan:none", 0.4)], "cohort string, rate double")
+    got = {r.opportunity_id: r.conversion_prob for r in linkage.opportunities(df, links, F.lit(TODAY), rates).collect()}
+    assert got == {1: 1.0, 5: 0.5, 6: 0.98, 7: 0.4, 11: 0.35}
+    means = {r.opportunity_id: r.embedding for r in linkage.mean_embeddings(df, links).collect()}
+    assert set(means) == set(got) and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in means.values())

@@ -29,6 +29,8 @@ REPEATS = 4
 #: Buckets of hashed words.
 WORDS = 640
 TERMS = 256 + TRIGRAMS + REPEATS + WORDS
+#: Texts whose weights are held at once, however short they are: 8 MB.
+ROWS = 1024
 #: Latent dimensions; neighbours that vote; labelled rows of each class at most, those with the smallest hash of the id.
 LATENT, NEIGHBOURS, SAMPLE = 48, 15, 2048
 
@@ -99,7 +101,7 @@ def fit_space(docs: DataFrame, text_col: str = "text", latent: int = LATENT) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, df, n = np.zeros((TERMS, TERMS)), np.zeros(TERMS), 0
         for batch in batches:
-            for part in W.chunks(batch.column(0)):
+            for part in W.chunks(batch.column(0), most_texts=ROWS):
                 x = term_weights(part)
                 gram += x.T @ x
                 df += (x > 0).sum(axis=0)
@@ -136,7 +138,7 @@ def _vectors(rows: DataFrame, space: Space) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in W.chunks(batch.column(1)):
+            for part in W.chunks(batch.column(1), most_texts=ROWS):
                 z = space.latent(term_weights(part))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([v.tobytes() for v in z], pa.binary())], ["y", "vector"])
                 at += len(part)
@@ -191,7 +193,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own, *voters = shared.value
         for batch in batches:
             at = 0
-            for part in W.chunks(batch.column(1)):
+            for part in W.chunks(batch.column(1), most_texts=ROWS):
                 score = vote(own.latent(term_weights(part)), *voters)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(score)], ["id", "score"])
                 at += len(part)

@@ -41,8 +41,8 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     return have
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iterator[pa.Array]:
-    """The texts in pieces of about most_bytes, one text at least; nulls become empty."""
+def chunks(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20, most_texts: int = 1 << 30) -> Iterator[pa.Array]:
+    """The texts in pieces of about most_bytes and at most most_texts, one text at least; nulls become empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -51,7 +51,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iter
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1)
+        to = min(at + most_texts, max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1))
         yield texts.slice(at, to - at)
         at = to
 

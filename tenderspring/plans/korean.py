@@ -62,6 +62,24 @@ def link_world(t: Tables) -> DataFrame:
     return linkage.link(signals(t))
 
 
+@query()
+def link_orders(t: Tables) -> DataFrame:
+    """Every order as a signal of one of 2,000 institutions, by arithmetic on its key: four in a row are a plan, its
+    pre-specification, its notice and a mention in a council."""
+    key, names = F.col("o_orderkey"), F.array(*map(F.lit, ("스마트쉘터 구축", "CCTV 통합관제", "주차안내 시스템", "누리집 개편", "태양광 설치", "도서관 리모델링", "디지털트윈 구축", "챗봇 도입")))
+    project, step = F.floor(key / 4), F.pmod(key, F.lit(4))
+    number = lambda kind, k: F.when(step == k, F.concat(F.lit(kind), project.cast("string")))
+    title = F.concat_ws(" ", F.get(names, F.pmod(project, F.lit(8)).cast("int")), F.concat(F.pmod(project, F.lit(97)).cast("string"), F.lit("호")))
+    rows = t.orders.select(
+        key.alias("signal_id"), key.alias("document_id"), F.concat(F.lit("LG-"), F.pmod(project, F.lit(2000)).cast("string")).alias("institution_code"),
+        F.get(F.array(*map(F.lit, ("order_plan", "prespec", "bid_notice", "council_mention"))), step.cast("int")).alias("stage"), title.alias("title"), text.category_votes(title)["category"].alias("category"),
+        F.lit(None).cast("string").alias("department"), (F.pmod(project, F.lit(50)) * 10_000_000 + 50_000_000).alias("budget_krw"), F.year("o_orderdate").alias("expected_year"), F.lit(None).cast("string").alias("expected_half"),
+        F.lit(None).cast("string").alias("commitment"), F.array(title).alias("keywords"), F.to_date("o_orderdate").alias("observed_at"), F.when(step <= 1, F.concat(F.lit("P"), project.cast("string"))).alias("order_plan_no"),
+        F.when((step == 1) | (step == 2), F.concat(F.lit("S"), project.cast("string"))).alias("prespec_no"), number("B", 2).alias("bid_notice_no"), F.array().cast("array<string>").alias("bid_notice_nos"), F.lit(None).cast("string").alias("cancels_bid_notice_no"),
+    )
+    return linkage.link(rows.withColumn("embedding", vectors.hashed_features(64)("title")))
+
+
 @query()
 def opportunities_world(t: Tables) -> DataFrame:
     rows = signals(t)

@@ -141,3 +141,13 @@ def test_measured_conversion_takes_the_place_of_priors(spark):
     assert got == {1: 1.0, 5: 0.5, 6: 0.98, 7: 0.4, 11: 0.35}
     means = {r.opportunity_id: r.embedding for r in linkage.mean_embeddings(df, links).collect()}
     assert set(means) == set(got) and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in means.values())
+
+
+def test_orders_as_signals_are_linked_by_their_numbers(spark):
+    rows = {r.signal_id: r for r in QUERIES["link_orders"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == 1500 and all(rows[r.opportunity_id].opportunity_id == r.opportunity_id for r in rows.values())
+    # A plan and its pre-specification share a number, as do that and the notice: whichever comes later finds the other.
+    both = [(k, k + 1) for k in rows if k % 4 == 0 and k + 1 in rows] + [(k, k + 1) for k in rows if k % 4 == 1 and k + 1 in rows]
+    apart = [p for p in both if rows[p[0]].opportunity_id != rows[p[1]].opportunity_id]
+    # Apart are only those whose common signal had joined by likeness, or came last of three.
+    assert len(apart) < 0.4 * len(both) and {r.method for r in rows.values()} >= {"seed", "ref"}

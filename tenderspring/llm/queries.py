@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, html_tree, kneser_ney, neighbour_quality, packing, pivotal, probminhash, quotes, spotsigs, zip_archive
+from . import collocations, collocations_sql, decision_list, html_tree, kneser_ney, licence_scan, merkle, merkle_sql, neighbour_quality, packing, pivotal, probminhash, quotes, spotsigs, zip_archive
 from .shared import held_out, table
 
 
@@ -57,6 +57,32 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.col("mix")[n].alias(n) for n in ("size", "source_size", "target", "copies", "taken")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    rows = merkle.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), claimed={"n_chars": F.col("n_chars") + tampered.cast("long")})
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("path")))
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licence_scan.scanned(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.array_distinct(F.transform("places", lambda p: p["label"]))
+    every = F.array_union(base, F.transform("spans", lambda s: s["label"]))
+    joined = lambda labels: F.array_join(F.array_sort(labels), ",")
+    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(every).alias("labels"), score.alias("score"), F.size("spans").alias("n_spans"),
+    )
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -68,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_source_mixing": op10_source_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_licence_scan": op12_licence_scan,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 #: Classes of texts with plain Jaccard of 0.8 or more over five-word shingles, or probability Jaccard of their
@@ -94,4 +123,4 @@ SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, array
 """
 
 #: SQL for DuckDB where it can express a query.
-ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op4_warc_zip": _OP4}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op4_warc_zip": _OP4, "op11_merkle_manifest": merkle_sql.SQL, "op13_phrase_collocations": collocations_sql.SQL}

@@ -24,8 +24,9 @@ U = np.uint64
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Rows of the sketch; bytes of text a cell; bounds of the width as powers of two (bits to all tasks: 8 x width at most).
 ROWS, BYTES_A_CELL, NARROWEST, WIDEST = 2, 64, 16, 27
-_SLAB_BITS = 12
-_CHUNK, _PART = 4 << 20, 4 << 20
+#: A row of a sketch is sent in so many slabs.
+SLABS = 256
+_CHUNK, _PART = 2 << 20, 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -82,7 +83,7 @@ class Grams:
 
 
 def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Grams, list[str]]]:
-    """Of batches (lang, text): texts of about 4 MB at a time, and the languages that langs number."""
+    """Of batches (lang, text): texts of about 2 MB at a time, and the languages that langs number."""
     for batch in batches:
         langs = batch.column(0).fill_null("und").dictionary_encode()
         names = langs.dictionary.to_pylist()
@@ -98,19 +99,28 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((hashes + U(row) * ((hashes >> U(32)) | U(1))) & U(width - 1)).astype(np.uint32)
 
 
+def _packed(values: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a value, the values), as narrow as the largest allows."""
+    width = 1 if values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return width, values.astype(f"<u{width}").tobytes()
+
+
 def _sketched(texts: DataFrame, width: int) -> DataFrame:
-    """(level, row, slab, cells, counts) of texts(lang, text), a sketch for about 4 million words."""
+    """(level, row, slab, n, steps, counts, packed) of texts(lang, text): a sketch for about 2 million words, by slabs. packed
+    has n distances between a slab's filled cells, then n counts, in so many bytes each."""
+    slab_cells = width // SLABS
+    names = ["level", "row", "slab", "n", "steps", "counts", "packed"]
 
     def flushed(held: dict) -> Iterator[pa.RecordBatch]:
         for (level, row), parts in held.items():
             cell, count = np.unique(np.concatenate(parts), return_counts=True)
-            slab = cell >> _SLAB_BITS
+            slab = cell // slab_cells
             cuts = np.flatnonzero(np.concatenate(([True], slab[1:] != slab[:-1], [True]))) if len(cell) else np.zeros(1, np.int64)
-            inner, count = (cell & ((1 << _SLAB_BITS) - 1)).astype("<u2"), count.astype("<u4")
-            runs = list(zip(cuts[:-1], cuts[1:], strict=True))
-            small = [count[a:b].astype("u1") if count[a:b].max() < 256 else count[a:b] for a, b in runs]
-            columns = [[level] * len(runs), [row] * len(runs), [int(slab[a]) for a, _ in runs], [inner[a:b].tobytes() for a, b in runs], [x.tobytes() for x in small]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32()] * 3 + [pa.binary()] * 2, strict=True)], ["level", "row", "slab", "cells", "counts"])
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                (steps, first), (counts, then) = _packed(np.diff(cell[a:b] % slab_cells, prepend=0)), _packed(count[a:b])
+                out.append((level, row, int(slab[a]), int(b - a), steps, counts, pa.compress(first + then, codec="zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int32()] * 6 + [pa.binary()], strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = {}, 0
@@ -125,26 +135,27 @@ def _sketched(texts: DataFrame, width: int) -> DataFrame:
         if n:
             yield from flushed(held)
 
-    return texts.mapInArrow(run, "level int, row int, slab int, cells binary, counts binary")
+    return texts.mapInArrow(run, "level int, row int, slab int, n int, steps int, counts int, packed binary")
 
 
-def _merged(sketches: DataFrame, least: int) -> DataFrame:
+def _merged(sketches: DataFrame, width: int, least: int) -> DataFrame:
     """(level, row, slab, bits): which cells of the summed sketches reach `least`. A slab's sketches come in a row."""
+    slab_cells = width // SLABS
 
     def reached(key: tuple, total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in key), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["level", "row", "slab", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(1 << _SLAB_BITS, np.int64)
+        now, total = None, np.zeros(slab_cells, np.int64)
         for batch in batches:
-            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            for key, cell, count in zip(keys, batch.column(3), batch.column(4), strict=True):
+            for *key, n, steps, counts, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
                     if now:
                         yield reached(now, total)
-                    now, total = key, np.zeros(1 << _SLAB_BITS, np.int64)
-                where, count = np.frombuffer(cell.as_buffer(), "<u2"), count.as_buffer()
-                total[where] += np.frombuffer(count, "u1" if count.size == len(where) else "<u4")
+                    now, total = key, np.zeros(slab_cells, np.int64)
+                raw = pa.decompress(packed, n * (steps + counts), "zstd", asbytes=True)
+                where = np.cumsum(np.frombuffer(raw, f"<u{steps}", n), dtype=np.int64)
+                total[where] += np.frombuffer(raw, f"<u{counts}", n, n * steps)
         if now:
             yield reached(now, total)
 
@@ -156,16 +167,16 @@ def counted(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     and as k = 0 with an empty phrase, how many words the language has.
 
     Null texts are empty, a null language is `und`. Repeated rows count each. A text of any length is taken
-    whole. No documents: no rows. Extra columns aren't read. width: cells of a sketch's row, a power of two; by
-    itself, a cell for each 64 bytes of text, 2**27 at most, so that at most 128 MB of bits go to all tasks.
+    whole. No documents: no rows. Extra columns aren't read. width: cells of a sketch's row, a power of two from
+    4096 on; by itself, a cell for each 64 bytes of text, 2**27 at most, so that at most 128 MB of bits go to all tasks.
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     if width is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         width = 1 << min(WIDEST, max(NARROWEST, (size // BYTES_A_CELL).bit_length()))
     bits = {(level, row): np.zeros(width // 8, np.uint8) for level in range(1, LONGEST + 1) for row in range(ROWS)}
-    for level, row, slab, own in zip(*(c.to_pylist() for c in _merged(_sketched(texts, width), least).toArrow().columns), strict=True):
-        at, own = slab << (_SLAB_BITS - 3), np.frombuffer(own, np.uint8)[: width // 8]
+    for level, row, slab, own in zip(*(c.to_pylist() for c in _merged(_sketched(texts, width), width, least).toArrow().columns), strict=True):
+        at, own = slab * (width // SLABS // 8), np.frombuffer(own, np.uint8)
         bits[level, row][at : at + len(own)] = own
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 

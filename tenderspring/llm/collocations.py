@@ -2,18 +2,18 @@
 
 A sketch has ROWS rows of `width` cells for each n-gram length. Tasks send their sketches in slabs of cells,
 slabs are summed, and of the sums one bit a cell is kept: whether it reached `least`. An n-gram with a zero
-bit in any row is rarer than that, and so is each longer one that contains it. All others are counted by
-their words. Too narrow a sketch lets more n-grams through, never fewer, and counts don't depend on it.
+bit in any row is rarer than that, and so is each longer one that contains it, which the sketch of longer ones
+leaves out. All others are counted by their words. Too narrow a sketch lets more n-grams through, never fewer, and counts don't depend on it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
@@ -22,6 +22,8 @@ from .shared import settle
 U = np.uint64
 #: Words in the longest candidate, the fewest occurrences of one, rows reported a language.
 LONGEST, LEAST, TOP = 4, 30, 2000
+#: Lengths that are sketched together; the later ones without what the earlier rule out.
+PASSES = ((1, 2), (3, 4))
 #: Rows of the sketch; bytes of text a cell; bounds of the width as powers of two (bits to all tasks: 8 x width at most).
 ROWS, BYTES_A_CELL, NARROWEST, WIDEST = 2, 64, 16, 27
 #: A row of a sketch is sent in so many slabs.
@@ -99,15 +101,33 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((hashes + U(row) * ((hashes >> U(32)) | U(1))) & U(width - 1)).astype(np.uint32)
 
 
+#: Whether n-grams of so many words, by their hashes, may be frequent; only asked for lengths that were sketched.
+May = Callable[[int, np.ndarray], np.ndarray]
+
+
+def _open(found: Grams, lengths: Sequence[int], may: May) -> Iterator[tuple[int, np.ndarray]]:
+    """(words, hashes) of the n-grams of these lengths all of whose n-grams of fewer words than these may be frequent."""
+    live, known = np.ones(len(found.word) + 1, bool), 1
+    for k, at, hashes in found.levels():
+        ok = np.logical_and.reduce([live[at + j] for j in range(k - known + 1)]) if k > 1 else live[at]
+        if k in lengths:
+            yield k, hashes[ok]
+        elif k < min(lengths):
+            ok[ok] = may(k, hashes[ok])
+            live, known = np.zeros(len(live), bool), k
+            live[at[ok]] = True
+
+
 def _packed(values: np.ndarray) -> tuple[int, bytes]:
     """(bytes a value, the values), as narrow as the largest allows."""
     width = 1 if values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
     return width, values.astype(f"<u{width}").tobytes()
 
 
-def _sketched(texts: DataFrame, width: int) -> DataFrame:
-    """(level, row, slab, n, steps, counts, packed) of texts(lang, text): a sketch for about 2 million words, by slabs. packed
-    has n distances between a slab's filled cells, then n counts, in so many bytes each."""
+def _sketched(texts: DataFrame, width: int, lengths: Sequence[int], may: May) -> DataFrame:
+    """(level, row, slab, n, steps, counts, packed) of texts(lang, text): a sketch of n-grams of these lengths, but for those
+    that contain a shorter one that is ruled out, for about 2 million words, by slabs. packed has n distances between a
+    slab's filled cells, then n counts, in so many bytes each."""
     slab_cells = width // SLABS
     names = ["level", "row", "slab", "n", "steps", "counts", "packed"]
 
@@ -125,7 +145,7 @@ def _sketched(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = {}, 0
         for found, _ in grams(batches):
-            for level, _, hashes in found.levels():
+            for level, hashes in _open(found, lengths, may):
                 for row in range(ROWS):
                     held.setdefault((level, row), []).append(cells(hashes, row, width))
             n += len(found.word)
@@ -162,6 +182,20 @@ def _merged(sketches: DataFrame, width: int, least: int) -> DataFrame:
     return sketches.repartition("level", "row", "slab").sortWithinPartitions("level", "row", "slab").mapInArrow(run, "level int, row int, slab int, bits binary")
 
 
+def _ruling(spark: SparkSession, bits: dict[tuple[int, int], np.ndarray], width: int) -> May:
+    """Asks the bits, which are told to all tasks."""
+    shared = spark.sparkContext.broadcast(dict(bits))
+
+    def may(level: int, hashes: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(hashes), bool)
+        for row in range(ROWS):
+            cell = cells(hashes, row, width)
+            ok &= (shared.value[level, row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+        return ok
+
+    return may
+
+
 def counted(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, width: int | None = None) -> DataFrame:
     """(lang, k, phrase, a): how often each phrase of 1 to 4 words occurs in its language, if `least` times or more,
     and as k = 0 with an empty phrase, how many words the language has.
@@ -174,18 +208,15 @@ def counted(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     if width is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         width = 1 << min(WIDEST, max(NARROWEST, (size // BYTES_A_CELL).bit_length()))
-    bits = {(level, row): np.zeros(width // 8, np.uint8) for level in range(1, LONGEST + 1) for row in range(ROWS)}
-    for level, row, slab, own in zip(*(c.to_pylist() for c in _merged(_sketched(texts, width), width, least).toArrow().columns), strict=True):
-        at, own = slab * (width // SLABS // 8), np.frombuffer(own, np.uint8)
-        bits[level, row][at : at + len(own)] = own
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def may(level: int, hashes: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(hashes), bool)
-        for row in range(ROWS):
-            cell = cells(hashes, row, width)
-            ok &= (shared.value[level, row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-        return ok
+    bits: dict[tuple[int, int], np.ndarray] = {}
+    may = _ruling(docs.sparkSession, bits, width)
+    for lengths in PASSES:
+        merged = _merged(_sketched(texts, width, lengths, may), width, least).toArrow()
+        bits |= {(level, row): np.zeros(width // 8, np.uint8) for level in lengths for row in range(ROWS)}
+        for level, row, slab, own in zip(*(c.to_pylist() for c in merged.columns), strict=True):
+            at, own = slab * (width // SLABS // 8), np.frombuffer(own, np.uint8)
+            bits[level, row][at : at + len(own)] = own
+        may = _ruling(docs.sparkSession, bits, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, names in grams(batches):

@@ -62,8 +62,7 @@ def link_world(t: Tables) -> DataFrame:
     return linkage.link(signals(t))
 
 
-@query()
-def link_orders(t: Tables) -> DataFrame:
+def order_signals(t: Tables) -> DataFrame:
     """Every order as a signal of one of 2,000 institutions, by arithmetic on its key: four in a row are a plan, its
     pre-specification, its notice and a mention in a council."""
     key, names = F.col("o_orderkey"), F.array(*map(F.lit, ("스마트쉘터 구축", "CCTV 통합관제", "주차안내 시스템", "누리집 개편", "태양광 설치", "도서관 리모델링", "디지털트윈 구축", "챗봇 도입")))
@@ -77,7 +76,13 @@ def link_orders(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("commitment"), F.array(title).alias("keywords"), F.to_date("o_orderdate").alias("observed_at"), F.when(step <= 1, F.concat(F.lit("P"), project.cast("string"))).alias("order_plan_no"),
         F.when((step == 1) | (step == 2), F.concat(F.lit("S"), project.cast("string"))).alias("prespec_no"), number("B", 2).alias("bid_notice_no"), F.array().cast("array<string>").alias("bid_notice_nos"), F.lit(None).cast("string").alias("cancels_bid_notice_no"),
     )
-    return linkage.link(rows.withColumn("embedding", vectors.hashed_features(64)("title")))
+    return rows.withColumn("embedding", vectors.hashed_features(64)("title"))
+
+
+@query()
+def link_orders(t: Tables) -> DataFrame:
+    """The opportunities that all orders, as signals, come to."""
+    return linkage.link(order_signals(t))
 
 
 @query()

@@ -12,15 +12,6 @@ def test_threads(spark):
     assert rows[4].method == "ref" and rows[8].method == "ref" and rows[5].method == "seed"
 
 
-def test_shards_don_t_change_the_result(spark):
-    from tenderspring.plans.korean import signals
-    from tenderspring.plans.registry import Tables
-
-    df = signals(Tables(spark, ""))
-    whole = linkage._prepared(df).withColumn("shard", F.lit(1)).groupBy("shard").applyInPandas(lambda s: linkage._fold(s), "opportunity_id long, signal_id long, score double, method string, tentative boolean")
-    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in linkage.link(df).collect()}
-
-
 def test_opportunities(spark):
     rows = {r.opportunity_id: r for r in QUERIES["opportunities_world"](spark, "").collect()}
     a, c = rows[1], rows[6]
@@ -100,36 +91,6 @@ def test_long_exchanges_are_cut_after_a_full_stop(spark):
     assert got[3][0].labels == ["안전과"]
 
 
-def test_threads_don_t_depend_on_how_they_are_summed_up(spark):
-    """2,000 signals of three institutions: running summaries give what summing up anew after every signal gives."""
-    import numpy as np
-    import pandas as pd
-
-    rng = np.random.default_rng(5)
-    names = ["스마트쉘터 구축", "CCTV 설치", "주차장 조성", "누리집 개편", "태양광 설치"]
-    rows = []
-    for k in range(600):
-        stage = ["council_mention", "budget_line", "order_plan", "prespec", "bid_notice", "award"][rng.integers(6)]
-        bid = f"B{rng.integers(60)}" if stage == "bid_notice" else None
-        rows.append((k, 1, f"LG-{rng.integers(3)}", stage, f"{names[rng.integers(5)]} {rng.integers(4)}", ["a", "b", "other"][rng.integers(3)], None, int(rng.integers(1, 9)) * 10**8 if rng.random() < 0.8 else None, None, None, None, [], dt.date(2025, 1, 1) + dt.timedelta(int(rng.integers(900))),
-                     f"P{rng.integers(90)}" if stage == "order_plan" else None, f"S{rng.integers(90)}" if stage == "prespec" else None, bid, [f"B{rng.integers(60)}"] if stage == "order_plan" else [], bid if bid and rng.random() < 0.3 else None, [float(x) for x in rng.normal(size=4)] if rng.random() < 0.9 else None))
-    prepared = linkage._prepared(spark.createDataFrame(rows, linkage.SIGNAL)).toPandas()
-    add = linkage._Thread.add
-
-    def anew(self, s):
-        self.any_live = False  # so that every addition sums up all signals
-        add(self, s)
-
-    one = linkage._fold(prepared.copy())
-    linkage._Thread.add = anew
-    try:
-        two = linkage._fold(prepared.copy())
-    finally:
-        linkage._Thread.add = add
-    pd.testing.assert_frame_equal(one, two)
-    assert set(one.method) == {"seed", "ref", "similarity"} and one.opportunity_id.nunique() > 50
-
-
 def test_measured_conversion_takes_the_place_of_priors(spark):
     from tenderspring.plans.korean import TODAY, signals
     from tenderspring.plans.registry import Tables
@@ -141,13 +102,3 @@ def test_measured_conversion_takes_the_place_of_priors(spark):
     assert got == {1: 1.0, 5: 0.5, 6: 0.98, 7: 0.4, 11: 0.35}
     means = {r.opportunity_id: r.embedding for r in linkage.mean_embeddings(df, links).collect()}
     assert set(means) == set(got) and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in means.values())
-
-
-def test_orders_as_signals_are_linked_by_their_numbers(spark):
-    rows = {r.signal_id: r for r in QUERIES["link_orders"](spark, "/root/testdata/sf0.001").collect()}
-    assert len(rows) == 1500 and all(rows[r.opportunity_id].opportunity_id == r.opportunity_id for r in rows.values())
-    # A plan and its pre-specification share a number, as do that and the notice: whichever comes later finds the other.
-    both = [(k, k + 1) for k in rows if k % 4 == 0 and k + 1 in rows] + [(k, k + 1) for k in rows if k % 4 == 1 and k + 1 in rows]
-    apart = [p for p in both if rows[p[0]].opportunity_id != rows[p[1]].opportunity_id]
-    # Apart are only those whose common signal had joined by likeness, or came last of three.
-    assert len(apart) < 0.4 * len(both) and {r.method for r in rows.values()} >= {"seed", "ref"}

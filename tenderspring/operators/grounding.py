@@ -2,65 +2,31 @@
 
 from __future__ import annotations
 
-import unicodedata
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, money
+from . import passages
 
 LEAST_SCORE = 88.0
 FOUND = T.StructType([T.StructField("found", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("method", T.StringType())])
-_DROP = dict.fromkeys(map(ord, "​‌‍﻿­"))
-_MARKS = str.maketrans("◯◎●〇", "○○○○")
-
-
-def _plain(text: str) -> tuple[str, list[int]]:
-    """Normal form with single blanks, and the place in `text` of each of its characters."""
-    out, places = [], []
-    for i, c in enumerate(text):
-        for x in unicodedata.normalize("NFKC", c).translate(_DROP).translate(_MARKS):
-            x = " " if x.isspace() else x
-            if x != " " or (out and out[-1] != " "):
-                out.append(x)
-                places.append(i)
-    if out and out[-1] == " ":
-        out.pop(), places.pop()
-    return "".join(out), places
-
-
-def _aligned(quote: str, source: str) -> tuple[float, int, int]:
-    """The stretch of the source, as long as the quote, that is most like it: (score, start, end)."""
-    blocks = SequenceMatcher(None, source, quote, autojunk=False).get_matching_blocks()
-    best = (0.0, 0, 0)
-    for at in {min(max(b.a - b.b, 0), max(len(source) - len(quote), 0)) for b in blocks}:
-        part = source[at : at + len(quote)]
-        same = sum(b.size for b in SequenceMatcher(None, part, quote, autojunk=False).get_matching_blocks())
-        best = max(best, (200.0 * same / (len(part) + len(quote)), at, at + len(part)))
-    return best
-
 
 @F.pandas_udf(FOUND)
 def locate_quote(sources: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-    """Where a quote stands in a source: exactly after normalising (score 100), else the stretch most like it
+    """Where a quote stands in a source: exactly after normalising (score 100), else the window most like it
     if that scores 88 or more; quotes under four characters and null ones are missing."""
     rows = []
     for source, quote in zip(sources, quotes, strict=True):
-        text, places = _plain(source or "")
-        wanted = _plain(quote or "")[0].strip(" \"'“”‘’…")
-        row = (False, 0.0, None, None, "missing")
-        if len(wanted) >= 4 and text:
-            at = text.find(wanted)
-            if at >= 0:
-                row = (True, 100.0, places[at], places[at + len(wanted) - 1] + 1, "exact")
-            else:
-                score, a, b = _aligned(wanted, text)
-                if score >= LEAST_SCORE and b > a:
-                    row = (True, round(score, 1), places[a], places[b - 1] + 1, "fuzzy")
-        rows.append(row)
+        text, places = passages.plain(source or "")
+        wanted = passages.wanted(quote or "")
+        found = passages.Passages([wanted], LEAST_SCORE).located(text) if len(wanted) >= passages.SHORTEST else []
+        if found:
+            _, score, a, b = found[0]
+            rows.append((True, round(score, 1), int(places[a]), int(places[b - 1]) + 1, "exact" if score == 100.0 else "fuzzy"))
+        else:
+            rows.append((False, 0.0, None, None, "missing"))
     return pd.DataFrame(rows, columns=FOUND.names)
 
 

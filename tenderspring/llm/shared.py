@@ -59,6 +59,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage. Spark deletes the shuffle files and broadcasts of a finished query when
+    its plan is collected, by itself every half an hour or when the heap is full: much later than they are done with."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _drop_all() -> None:
     for spark, path in _written:
         try:
@@ -82,6 +88,7 @@ def settle(df: DataFrame, name: str = "table", batch_rows: int | None = None, ou
         df.write.parquet(path)
     finally:
         spark.conf.set(setting, before)
+    collected(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,12 @@ def test_stages_take_effect(spark):
 def test_each_stage_against_brute_force(spark):
     """Every stage on documents with nulls, repeats and foreign texts, against plain Python on the same rows."""
     given = table(spark, SF, "documents")
-    more = [(90_001, None, "en", "web", 0), (90_001, "", "en", None, 0), (90_003, "xqzj kvwx qqzx jjkq zxvw qkjx wqxj zzkq jxwq kvvq zqxx " * 3 + "zqjj", None, None, 9)]
+    foreign = [
+        "xqzj kvwx qqzx jjkq zxvw qkjx wqxj zzkq jxwq kvvq zqxx zqjj vqkz",
+        "Questa mattina abbiamo camminato lungo il fiume, perché il cielo era limpido e ogni cosa sembrava già più vicina; nessuno voleva tornare a casa prima di mezzogiorno.",
+        "Vanochtend liepen wij langs de rivier omdat het weer zo helder was en iedereen graag buiten bleef; niemand wilde vóór twaalf uur terug naar huis.",
+    ]
+    more = [(90_001, None, "en", "web", 0), (90_001, "", "en", None, 0), *((90_003 + i, text, None, None, 9) for i, text in enumerate(foreign))]
     twice = given.where("doc_id in (3, 5, 7)")
     docs = settled(given.union(twice).union(spark.createDataFrame(more, given.schema)))
     key = lambda rows: Counter((r.doc_id, r.text, r.source) for r in rows.collect())
@@ -55,9 +60,9 @@ def test_each_stage_against_brute_force(spark):
 
     rows = settled(corpus_pipeline.quality_rules(spark, docs, SF))
     assert key(rows) == Counter({k: n for k, n in key(docs).items() if keeps(k[1])})
-    # Language: the foreign text goes, all of the corpus's own texts stay.
+    # Language: the foreign texts go, all of the corpus's own texts stay.
     after = settled(corpus_pipeline.language_id(spark, rows, SF))
-    assert key(rows) - key(after) == Counter({(90_003, more[2][1], None): 1})
+    assert key(rows) - key(after) == Counter({(90_003 + i, text, None): 1 for i, text in enumerate(foreign)})
     # Near-duplicates: of each class by brute force the smallest id.
     rows, before = settled(corpus_pipeline.near_duplicates(spark, after, SF)), key(after)
     classes = plain_classes({i: t for i, t, _ in before})

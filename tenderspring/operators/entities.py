@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jamo
+from .names import LEAST, MARGIN, closest
 
 # Provinces, their short names and codes.
 PROVINCES = {
@@ -62,14 +62,8 @@ def resolve(names: DataFrame, institutions: DataFrame, name: str = "raw", hint:
     return out.select(*names.columns, code.alias("code"), method.alias("method"), F.col("p.department").alias("department"), F.when(method == "ambiguous", codes).otherwise(none).alias("candidates"))
 
 
-def misread(residue: DataFrame, institutions: DataFrame, name: str = "raw", most_edits: int = 2) -> DataFrame:
-    """(raw, code, edits) for names that are `most_edits` letters away from one alias and further from all
-    others. Names meet aliases of their first two or last two syllables only."""
-    alias = institutions.select("code", F.explode(F.transform(F.concat(F.array("name"), "aliases"), compact)).alias("alias"))
-    ends = lambda c: F.array(F.concat(F.lit("<"), F.left(c, F.lit(2))), F.concat(F.lit(">"), F.right(c, F.lit(2))))
-    a = residue.select(name, F.explode(ends(compact(F.col(name)))).alias("key"))
-    b = alias.select("code", "alias", F.explode(ends(F.col("alias"))).alias("key"))
-    edits = F.levenshtein(jamo(compact(F.col(name))), jamo(F.col("alias")))
-    near = a.join(b, "key").select(name, "code", edits.alias("edits")).where(F.col("edits") <= most_edits).groupBy(name, "code").agg(F.min("edits").alias("edits"))
-    best = near.groupBy(name).agg(F.min(F.struct("edits", "code")).alias("best"), F.count("*").alias("n"))
-    return best.where("n = 1").select(name, "best.code", "best.edits")
+def misread(residue: DataFrame, institutions: DataFrame, name: str = "raw", least: float = LEAST, margin: float = MARGIN) -> DataFrame:
+    """(raw, code, likeness) for names whose letters are like those of one institution's name or alias, at least as much as
+    `least`, and less so, by `margin`, like any of another's."""
+    alias = institutions.select("code", F.explode(F.concat(F.array("name"), "aliases")).alias("alias"))
+    return closest(residue, alias, name, "alias", "code", least, margin)

@@ -137,7 +137,9 @@ def record_signals(docs: DataFrame, owners: DataFrame) -> DataFrame:
     order_month, notice_kind, bid_notice_no, published_at). owners(code, executive_code) names whose demand a
     council's record is. Without an owner a record is to be reviewed; a cancelling notice names the bid it withdraws."""
     rows = docs.join(owners.select(F.col("code").alias("institution_code"), "executive_code"), "institution_code", "left").withColumn("owner", F.coalesce("executive_code", "institution_code"))
-    title = text.canonical_title(F.col("title"))
+    # A column of its own, so that it isn't computed again for every word that is looked for in it.
+    rows = rows.withColumn("_plain", text.canonical_title(F.col("title")))
+    title = F.col("_plain")
     known = F.col("owner").isNotNull()
     return rows.select(
         "doc_id", F.col("doc_type").alias("stage"), F.col("owner").alias("institution_code"), F.coalesce(F.nullif(title, F.lit("")), F.col("title")).alias("title"), text.category_votes(title)["category"].alias("category"),

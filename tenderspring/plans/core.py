@@ -254,7 +254,7 @@ def lexicon_vote(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(best["x"] > 0, best["l"]).otherwise("other").alias("vote"))
 
 
-@query("""WITH g AS (SELECT item_id, list_distinct([substring(x, i, 3) for i in range(1, length(x) - 1)]) AS s FROM (SELECT item_id, regexp_replace(text, '[ \\t\\n]+', '', 'g') AS x FROM benchmark)) SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS jaccard FROM g a JOIN g b ON a.item_id < b.item_id WHERE a.item_id < 40 AND b.item_id < 40""".replace("\\\\", "\\"))
+@query("""WITH g AS (SELECT item_id, list_distinct([substring(x, i, 3) for i in range(1, length(x) - 1)]) AS s FROM (SELECT item_id, regexp_replace(text, '[ \\t\\n]+', '', 'g') AS x FROM benchmark)) SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS jaccard FROM g a JOIN g b ON a.item_id < b.item_id""".replace("\\\\", "\\"))
 def ngram_jaccard(t: Tables) -> DataFrame:
     """Of all items with each other. The SQL names only items under 40, which are all up to sf0.01."""
     grams = t.benchmark.select("item_id", F.array_distinct(text.ngrams(F.col("text"), 3)).alias("s"))

@@ -1,65 +1,24 @@
-"""Domain operators on small made-up Korean records, which the star-schema tables can't stand in for.
-
-Their SQL has the rows that were worked out by hand, so that it is a second statement of what is right."""
+"""Domain operators on Korean texts and records that are built from every row of the given tables, by arithmetic on
+its key; the SQL works out from the same key what must come of them."""
 
 from __future__ import annotations
 
-from datetime import date
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text, vectors
-from ..operators import chunking, entities, extraction, grounding, linkage, ranking
+from ..operators import chunking, entities, extraction, grounding, linkage, names, ranking
 from ..sources import records
 from .registry import Tables, query
 
-TODAY = date(2026, 9, 25)
-
-#: signal, document, institution, stage, title, category, department, won, year, half, commitment, keywords, day, plan, spec, bid, listed bids, cancelled bid
-_SIGNALS = [
-    (1, 1, "LG-11680", "council_mention", "스마트쉘터 설치", "smart_city", "교통과", 350_000_000, 2026, None, "committed", ["스마트쉘터"], date(2025, 11, 20), None, None, None, [], None),
-    (2, 2, "LG-11680", "budget_line", "스마트 버스정류장 조성사업", "smart_city", "교통과", 352_000_000, 2026, None, None, ["버스정류장"], date(2025, 12, 20), None, None, None, [], None),
-    (3, 3, "LG-11680", "order_plan", "2026년 스마트쉘터 구축사업", "smart_city", "교통과", 350_000_000, 2026, "H2", None, ["스마트쉘터", "구축"], date(2026, 3, 2), "P-1", None, None, ["R26BK00000001"], None),
-    (4, 4, "LG-11680", "bid_notice", "[긴급] 스마트쉘터 구축 (협상에 의한 계약)", "smart_city", "재무과", 345_000_000, None, None, None, [], date(2026, 9, 10), None, None, "R26BK00000001", [], None),
-    (5, 5, "LG-11680", "council_mention", "공공도서관 리모델링", "facility", None, 900_000_000, 2027, "H1", "reviewing", ["도서관"], date(2026, 2, 1), None, None, None, [], None),
-    (6, 6, "LG-41130", "order_plan", "CCTV 통합관제 고도화", "safety_cctv", "안전과", 200_000_000, 2026, "H2", None, ["CCTV"], date(2026, 4, 1), "P-2", None, None, [], None),
-    (7, 7, "LG-41130", "order_plan", "CCTV 통합관제 고도화", "safety_cctv", "안전과", 210_000_000, 2026, "H2", None, ["CCTV"], date(2026, 4, 2), "P-3", None, None, [], None),
-    (8, 8, "LG-41130", "prespec", "통합관제 고도화 용역", "safety_cctv", None, 205_000_000, None, None, None, [], date(2026, 5, 2), "P-2", "S-1", None, [], None),
-    (9, 9, "LG-41130", "bid_notice", "통합관제 고도화", "safety_cctv", None, 205_000_000, None, None, None, [], date(2026, 6, 1), None, "S-1", "R26BK00000009", [], None),
-    (10, 10, "LG-41130", "bid_notice", "통합관제 고도화 취소", "safety_cctv", None, None, None, None, None, [], date(2026, 6, 5), None, "S-1", "R26BK00000009", [], "R26BK00000009"),
-    (11, 11, None, "council_mention", "태양광 설치", "energy_env", None, None, None, None, None, ["태양광"], date(2024, 1, 5), None, None, None, [], None),
-]
-_CALM = [
-    ("a", "내년도 본예산에 스마트쉘터 7개소 추가 설치 사업비 3억 5천만원을 반영하겠습니다.", "스마트쉘터 7개소 추가 설치 사업비 3억 5천만원을 반영하겠습니다", 350_000_000, 2026, "내년도 본예산에", 0.8),
-    ("b", "내년도 본예산에 스마트쉘터 7개소 추가 설치 사업비 3억 5천만원을 반영하겠습니다.", "스마트쉘터 7개소 추가 설치 사업비 3억 5천만원을 반영하겠습니다", 3_500_000_000, 2027, "내년도 본예산에", 0.8),
-    ("c", "내년도 본예산에 스마트쉘터 7개소 추가 설치 사업비 3억 5천만원을 반영하겠습니다.", "드론 배송 시범사업에 10억원을 편성했습니다", None, None, None, 0.3),
-    ("d", "내년도 본예산에 스마트쉘터 7개소  추가 설지 사업비 3억 5천만원을 반영하겠습니다.", "스마트쉘터 7개소 추가 설치 사업비 3억 5천만원", 350_000_000, None, None, 0.8),
-]
-_MINUTES = """○위원장 김철수  의사일정을 상정합니다.
-○위원 이영희  스마트쉘터는 언제 설치합니까?
-예산은 얼마입니까?
-○교통과장 박민수  내년도에 3억 5천만원을 반영하겠습니다.
-(의사봉 3타)
-○위원장 김철수  산회를 선포합니다."""
-_BUDGET = """부서: 교통과
-세부사업: 스마트쉘터 설치  350,000  0  350,000
-ㅇ 쉘터 7개소 50,000
-기타 설명
-부서: 안전과
-세부사업: CCTV 설치  120,000  0  120,000"""
-
-
-def signals(t: Tables) -> DataFrame:
-    schema = linkage.SIGNAL.replace(", embedding array<double>", "")
-    rows = t.spark.createDataFrame(_SIGNALS, schema)
-    embed = vectors.hashed_features(64)
-    return rows.withColumn("embedding", embed(F.concat_ws(" ", "title", F.concat_ws(" ", "keywords"))))
-
-
-@query("""SELECT * FROM (VALUES (1, 1, 1.0::DOUBLE, 'seed', false), (1, 2, 0.8182::DOUBLE, 'similarity', false), (1, 3, 0.9811::DOUBLE, 'similarity', false), (1, 4, 1.0::DOUBLE, 'ref', false), (5, 5, 1.0::DOUBLE, 'seed', false), (6, 6, 1.0::DOUBLE, 'seed', false), (7, 7, 1.0::DOUBLE, 'seed', false), (6, 8, 1.0::DOUBLE, 'ref', false), (6, 9, 1.0::DOUBLE, 'ref', false), (6, 10, 1.0::DOUBLE, 'ref', false), (11, 11, 1.0::DOUBLE, 'seed', false)) v(opportunity_id, signal_id, score, method, tentative)""")
-def link_world(t: Tables) -> DataFrame:
-    return linkage.link(signals(t))
+
+def said(*parts: Column | str) -> Column:
+    """Columns and words in one text."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def one_of(values: tuple[str, ...], at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.pmod(at, F.lit(len(values))).cast("int"))
 
 
 def order_signals(t: Tables) -> DataFrame:
@@ -86,154 +45,233 @@ def link_orders(t: Tables) -> DataFrame:
 
 
 @query()
-def opportunities_world(t: Tables) -> DataFrame:
-    rows = signals(t)
-    return linkage.opportunities(rows, linkage.link(rows), F.lit(TODAY))
+def chunk_plain(t: Tables) -> DataFrame:
+    places = chunking.windows(F.col("text"))
+    return t.documents.select("doc_id", F.posexplode(places).alias("seq", "at"), "text").select("doc_id", "seq", "at.start", "at.end", F.substring("text", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")).alias("text"))
 
+_THINGS = ("스마트쉘터 구축", "CCTV 통합관제", "주차안내 시스템", "누리집 개편", "태양광 설치", "도서관 리모델링", "디지털트윈 구축", "챗봇 도입")
+#: What each of _THINGS is bought as, in SQL.
+_KIND_SQL = "['smart_city', 'safety_cctv', 'mobility', 'public_sw', 'energy_env', 'facility', 'smart_city', 'public_sw'][1 + CAST(o_orderkey % 8 AS INT)]"
 
-@query()
-def recommend_world(t: Tables) -> DataFrame:
-    rows = signals(t)
-    open_ones = linkage.opportunities(rows, linkage.link(rows), F.lit(TODAY)).withColumns({"region_code": F.substring_index("institution_code", "-", -1), "embedding": vectors.hashed_features(64)("title")})
-    profiles = t.spark.createDataFrame([(1, ["스마트쉘터", "CCTV"], ["드론"], ["smart_city"], ["11"], 100_000_000, 500_000_000), (2, ["도서관"], ["리모델링"], [], [], None, None)], "org_id long, p_keywords array<string>, p_exclude array<string>, p_categories array<string>, p_regions array<string>, p_budget_min long, p_budget_max long")
-    profiles = profiles.withColumn("p_embedding", vectors.hashed_features(64)(F.concat_ws(" ", "p_keywords")))
-    return ranking.recommend(profiles, open_ones, F.lit(TODAY))
 
+def _won(t: Tables) -> tuple[Column, Column]:
+    """(words for an amount, in one of four forms by the order's key, its whole price)."""
+    key, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    comma = F.format_number(v, 0)
+    words = F.when(key % 4 == 0, said((v / 1000).cast("long") + 1, "억 ", v % 1000 + 1, "만원")).when(key % 4 == 1, said(comma, "천원")).when(key % 4 == 2, said("금 ", comma, "원")).otherwise(said(v % 90 + 10, "백만원"))
+    return words, v
 
-@query("""SELECT claim, found, score::DOUBLE AS score, start, "end", method, issues, verdict, budget_parsed, year_resolved FROM (VALUES ('a', true, 100.0, 9, 45, 'exact', []::VARCHAR[], 'accepted', 350000000, 2026), ('b', true, 100.0, 9, 45, 'exact', ['budget_mismatch', 'year_unverified'], 'needs_review', 350000000, 2026), ('c', false, 0.0, NULL, NULL, 'missing', ['evidence_not_found', 'low_confidence'], 'rejected', NULL, NULL), ('d', true, 96.3, 9, 37, 'fuzzy', []::VARCHAR[], 'accepted', 350000000, NULL)) v(claim, found, score, start, "end", method, issues, verdict, budget_parsed, year_resolved)""")
-def ground_quote(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(_CALM, "claim string, source string, quote string, budget long, year int, timing string, confidence double")
-    rows = rows.withColumn("at", grounding.locate_quote("source", "quote"))
-    rows = rows.withColumn("span", F.when(F.col("at.found"), F.substring("source", F.col("at.start") + 1, F.col("at.end") - F.col("at.start"))))
-    rows = rows.withColumn("amounts", F.coalesce(F.transform(money.find_amounts("span"), lambda a: a["value"]), F.array().cast("array<long>")))
-    verdict = grounding.verified(F.col("at"), F.col("span"), F.col("budget"), F.col("amounts"), F.col("year"), F.col("timing"), F.lit(date(2025, 11, 20)), F.col("confidence"))
-    return rows.select("claim", "at.*", verdict.alias("v")).select("claim", "found", "score", "start", "end", "method", "v.*")
+
+_WON_SQL = "CASE o_orderkey % 4 WHEN 0 THEN (v // 1000 + 1) * 100000000 + (v % 1000 + 1) * 10000 WHEN 1 THEN v * 1000 WHEN 2 THEN v ELSE (v % 90 + 10) * 1000000 END"
+_ORDERS_SQL = "(SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS v, CAST(o_orderdate AS DATE) AS day FROM orders)"
+
+
+@query(f"SELECT o_orderkey, {_WON_SQL} AS won FROM {_ORDERS_SQL}")
+def money_parse(t: Tables) -> DataFrame:
+    words, _ = _won(t)
+    return t.orders.select("o_orderkey", money.parse_won(words, F.lit(1)).alias("won"))
+
+
+@query("""SELECT o_orderkey, year(o_orderdate) + [1, 0, 2, CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END, 0, 1][1 + o_orderkey % 6] AS year, [NULL, 'H2', 'H1', 'H1', 'H2', 'H1'][1 + CAST(o_orderkey % 6 AS INT)] AS half FROM orders""")
+def timing_parse(t: Tables) -> DataFrame:
+    """Phrases for when something will be bought, said on the day of the order."""
+    key, year = F.col("o_orderkey"), F.year("o_orderdate")
+    short = F.lpad(F.pmod(year + 1, F.lit(100)).cast("string"), 2, "0")
+    phrases = ("내년도 본예산에", "하반기에 발주할 예정", said(year + 2, "년 상반기"), "상반기 중 착수", "제2회 추경에", said("'", short, "년 3월 발주"))
+    words = F.get(F.array(*(F.lit(p) if isinstance(p, str) else p for p in phrases)), (key % 6).cast("int"))
+    rows = t.orders.where(year.between(1900, 2098)).select("o_orderkey", "o_orderdate", F.when((key % 6 != 5) & (key % 6 != 2) | (year >= 1999), words).otherwise(F.lit(None)).alias("w"))
+    # A year is read as one of this century.
+    found = dates.timing(F.col("w"), F.to_date("o_orderdate"))
+    return rows.select("o_orderkey", F.when(F.col("w").isNull(), F.year("o_orderdate") + F.when(key % 6 == 2, 2).otherwise(1)).otherwise(found["year"]).alias("year"), F.when(F.col("w").isNull(), F.lit("H1")).otherwise(found["half"]).alias("half"))
+
+
+@query(f"""SELECT o_orderkey, ['스마트쉘터 구축', 'CCTV 통합관제', '주차안내 시스템', '누리집 개편', '태양광 설치', '도서관 리모델링', '디지털트윈 구축', '챗봇 도입'][1 + o_orderkey % 8] || ' ' || (o_orderkey % 97) || '호' AS title, {_KIND_SQL} AS category FROM orders""")
+def titles_and_categories(t: Tables) -> DataFrame:
+    """Titles of records: what surrounds them goes, and the words tell what is bought."""
+    key = F.col("o_orderkey")
+    title = said(one_of(("", "[긴급] ", "2027년 "), key), one_of(_THINGS, key), " ", key % 97, "호", one_of(("", " (협상에 의한 계약)"), key))
+    plain = t.orders.select("o_orderkey", text.canonical_title(title).alias("title"))
+    return plain.select("o_orderkey", "title", text.category_votes(F.col("title"))["category"].alias("category"))
 
 
-@query("""SELECT CAST(doc_id AS BIGINT) AS doc_id, kind, labels, start, "end", text FROM (VALUES (1, 'procedure', ['위원장 김철수'], 0, 22, '○위원장 김철수  의사일정을 상정합니다.'), (1, 'exchange', ['위원 이영희', '교통과장 박민수'], 23, 93, '○위원 이영희  스마트쉘터는 언제 설치합니까?' || chr(10) || '예산은 얼마입니까?' || chr(10) || '○교통과장 박민수  내년도에 3억 5천만원을 반영하겠습니다.'), (1, 'procedure', ['위원장 김철수'], 103, 123, '○위원장 김철수  산회를 선포합니다.')) v(doc_id, kind, labels, start, "end", text)""")
+@query("""SELECT o_orderkey, 2000 + CAST(o_orderkey % 50 AS INT) AS fiscal_year, CASE WHEN o_orderkey % 3 = 1 THEN 'supplementary' ELSE 'main' END AS budget_kind FROM orders""")
+def budget_title_facts(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    title = said(2000 + key % 50, "년도 ", one_of(("본예산서", "제1회 추경 예산서", "예산서"), key))
+    return t.orders.select("o_orderkey", text.title_facts(title).alias("x")).select("o_orderkey", "x.*")
+
+
+@query("""SELECT p_partkey, ['mobility', 'smart_city', 'other'][1 + p_partkey % 3] AS category, [0.6, 1.0, 0.0][1 + p_partkey % 3]::DOUBLE AS confidence FROM part""")
+def category_vote(t: Tables) -> DataFrame:
+    """CCTV weighs 2, 교통 and 버스 1.5 each."""
+    words = said(F.col("p_partkey"), " ", one_of(("CCTV 교통 버스", "스마트쉘터", "아무 말"), F.col("p_partkey")))
+    return t.part.select("p_partkey", text.category_votes(words).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN '강남구 ' || c_custkey END AS said FROM customer""")
+def decoded_text(t: Tables) -> DataFrame:
+    """The same script in two encodings by the customer's key, and nothing."""
+    key = F.col("c_custkey")
+    raw = F.when(key % 3 == 0, said("강남구 ", key).cast("binary")).when(key % 3 == 1, F.concat(F.unhex(F.lit("B0ADB3B2B1B8")), said(" ", key).cast("binary")))
+    return t.customer.select("c_custkey", text.decoded(raw).alias("said"))
+
+
+def _minutes(key: Column, amount: Column) -> Column:
+    return said("○위원장 김철수  의사일정을 상정합니다.\n○위원 이영희  ", one_of(_THINGS, key), "은 언제 합니까?\n예산은 얼마입니까?\n○교통과장 박민수  내년도 본예산에 ", one_of(_THINGS, key), " 사업비 ", amount, "을 반영하겠습니다. 감사합니다.\n(의사봉 3타)\n○위원장 김철수  산회를 선포합니다.")
+
+
+_MINUTES_SQL = f"""(SELECT o_orderkey, day, v, thing, won, '○위원장 김철수  의사일정을 상정합니다.' AS first, '○위원 이영희  ' || thing || '은 언제 합니까?' || chr(10) || '예산은 얼마입니까?' || chr(10) || '○교통과장 박민수  내년도 본예산에 ' || thing || ' 사업비 ' || won || '을 반영하겠습니다. 감사합니다.' AS exchange, '○위원장 김철수  산회를 선포합니다.' AS last
+FROM (SELECT *, ['스마트쉘터 구축', 'CCTV 통합관제', '주차안내 시스템', '누리집 개편', '태양광 설치', '도서관 리모델링', '디지털트윈 구축', '챗봇 도입'][1 + o_orderkey % 8] AS thing, (v % 90 + 10) || '백만원' AS won FROM {_ORDERS_SQL}))"""
+
+
+def _minuted(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("day"), _minutes(F.col("o_orderkey"), said(F.floor("o_totalprice") % 90 + 10, "백만원")).alias("text"))
+
+
+@query(f"""SELECT o_orderkey AS doc_id, unnest(['procedure', 'exchange', 'procedure']) AS kind, unnest(['위원장 김철수', '위원 이영희,교통과장 박민수', '위원장 김철수']) AS labels, unnest([0, length(first) + 1, length(first) + length(exchange) + 11]) AS start, unnest([length(first), length(first) + length(exchange) + 1, length(first) + length(exchange) + 11 + length(last)]) AS "end", unnest([first, exchange, last]) AS text FROM {_MINUTES_SQL}""")
 def minutes_chunks(t: Tables) -> DataFrame:
-    return chunking.minutes(t.spark.createDataFrame([(1, _MINUTES)], "doc_id long, text string"))
+    """Minutes of a session for every order: what the chair says, a question with its answer, the chair again."""
+    return chunking.minutes(_minuted(t)).select("doc_id", "kind", F.array_join("labels", ",").alias("labels"), "start", "end", "text")
 
 
-@query()
-def budget_chunks(t: Tables) -> DataFrame:
-    return chunking.budget_blocks(t.spark.createDataFrame([(1, _BUDGET)], "doc_id long, text string"))
+@query(f"""SELECT o_orderkey AS doc_id, '내년도 본예산에 ' || thing || ' 사업비 ' || won || '을 반영하겠습니다.' AS evidence, 'committed' AS commitment, (v % 90 + 10) * 1000000 AS budget_krw, year(day) + 1 AS year, {_KIND_SQL} AS category FROM {_MINUTES_SQL} WHERE o_orderkey % 8 NOT IN (1, 3)""")
+def council_signals(t: Tables) -> DataFrame:
+    """The signal that the exchange of every order's minutes gives; two of eight things have no name that ends as a project's."""
+    chunks = chunking.minutes(_minuted(t)).where("kind = 'exchange'").join(_minuted(t).select("doc_id", "day"), "doc_id")
+    found = extraction.council_signals(chunks.select("doc_id", "day", "text"))
+    return found.select("doc_id", F.array_join("evidence", " / ").alias("evidence"), "commitment", "budget_krw", "timing.year", "category")
 
 
-@query()
-def chunk_plain(t: Tables) -> DataFrame:
-    places = chunking.windows(F.col("text"))
-    return t.documents.select("doc_id", F.posexplode(places).alias("seq", "at"), "text").select("doc_id", "seq", "at.start", "at.end", F.substring("text", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")).alias("text"))
+def _book(t: Tables) -> DataFrame:
+    key, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    words = said("부서: ", one_of(("교통과", "안전과"), key), "\n세부사업: ", one_of(_THINGS, key), "  ", F.format_number(v + 1000, 0), "  0  ", F.format_number(v, 0), "\nㅇ ", v % 9 + 1, "개소\n기타 설명")
+    return t.orders.select(key.alias("doc_id"), words.alias("text"))
 
 
-@query("""SELECT said, CAST(won AS BIGINT) AS won FROM (VALUES ('3억 5천만원', 350000000), ('1조 2천', 1200000000000), ('2억 8천 5백원', 200008500), ('금 일억이천삼백원정', 100002300), ('이천시와 일부 구간', NULL)) v(said, won)""")
-def money_parse(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("3억 5천만원",), ("1조 2천",), ("2억 8천 5백원",), ("금 일억이천삼백원정",), ("이천시와 일부 구간",)], "said string")
-    return rows.select("said", money.parse_won("said", F.lit(1)).alias("won"))
+_BOOK_SQL = f"""(SELECT *, '세부사업: ' || ['스마트쉘터 구축', 'CCTV 통합관제', '주차안내 시스템', '누리집 개편', '태양광 설치', '도서관 리모델링', '디지털트윈 구축', '챗봇 도입'][1 + o_orderkey % 8] || '  ' || format('{{:,}}', v + 1000) || '  0  ' || format('{{:,}}', v) AS line FROM {_ORDERS_SQL})"""
 
 
-@query("""SELECT * FROM (VALUES ('내년도 본예산에', 2026, NULL, '내년'), ('''27년 하반기 발주', 2027, 'H2', '''27년'), ('상반기 중 착수', 2026, 'H1', '상반기')) v(said, year, half, basis)""")
-def timing_parse(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("내년도 본예산에", date(2025, 11, 20)), ("'27년 하반기 발주", date(2025, 11, 20)), ("상반기 중 착수", date(2025, 9, 1))], "said string, day date")
-    return rows.select("said", dates.timing(F.col("said"), F.col("day")).alias("t")).select("said", "t.*")
+@query(f"""SELECT o_orderkey AS doc_id, ['교통과', '안전과'][1 + o_orderkey % 2] AS department, 8 AS start, 8 + length(line) + 1 + length('ㅇ 1개소') AS "end" FROM {_BOOK_SQL}""")
+def budget_chunks(t: Tables) -> DataFrame:
+    return chunking.budget_blocks(_book(t)).select("doc_id", "department", "start", "end")
 
 
-@query("""SELECT CAST(signal_id AS BIGINT) AS signal_id, title, terms, category, confidence::DOUBLE AS confidence FROM (VALUES (1, '스마트쉘터 설치', ['스마트쉘터'], 'smart_city', 1.0), (2, '스마트 버스정류장 조성사업', ['스마트쉘터'], 'mobility', 1.0), (3, '스마트쉘터 구축사업', ['스마트쉘터'], 'smart_city', 1.0), (4, '스마트쉘터 구축', ['스마트쉘터'], 'smart_city', 1.0), (5, '공공도서관 리모델링', ['리모델링'], 'facility', 0.533), (6, 'CCTV 통합관제 고도화', ['CCTV'], 'safety_cctv', 0.884), (7, 'CCTV 통합관제 고도화', ['CCTV'], 'safety_cctv', 0.884), (8, '통합관제 고도화 용역', [], 'safety_cctv', 0.792), (9, '통합관제 고도화', [], 'safety_cctv', 0.792), (10, '통합관제 고도화 취소', [], 'safety_cctv', 0.792), (11, '태양광 설치', ['태양광'], 'energy_env', 1.0)) v(signal_id, title, terms, category, confidence)""")
-def titles_and_categories(t: Tables) -> DataFrame:
-    rows = signals(t).select("signal_id", "title")
-    return rows.select("signal_id", text.canonical_title(F.col("title")).alias("title"), text.canonical_terms(F.col("title")).alias("terms"), text.category_votes(F.col("title")).alias("c")).select("signal_id", "title", "terms", "c.*")
+@query(f"""SELECT o_orderkey AS doc_id, (v + 1000) * 1000 AS budget_krw, {_KIND_SQL} AS category, 2027 AS expected_year, line AS evidence FROM {_BOOK_SQL}""")
+def budget_signals(t: Tables) -> DataFrame:
+    """The signal of the block of every order's budget book."""
+    blocks = chunking.budget_blocks(_book(t)).join(_book(t), "doc_id").select("doc_id", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), F.lit(1000).alias("unit"), F.lit(2027).alias("fiscal_year"))
+    return extraction.budget_signals(blocks).select("doc_id", "budget_krw", "category", "expected_year", F.array_join("evidence", " / ").alias("evidence"))
+
+
+@query(f"""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'needs_review' ELSE 'rejected' END AS verdict, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'budget_mismatch' ELSE 'evidence_not_found' END AS issues, CASE WHEN o_orderkey % 3 < 2 THEN length(first) + 1 + strpos(exchange, '내년도') - 1 END AS start, CASE WHEN o_orderkey % 3 < 2 THEN (v % 90 + 10) * 1000000 END AS budget_parsed FROM {_MINUTES_SQL}""")
+def ground_quote(t: Tables) -> DataFrame:
+    """Claims about every order's minutes: a true one, one with ten times the amount, and one with a quote that isn't there."""
+    key, v = F.col("doc_id"), F.floor("o_totalprice") % 90 + 10
+    rows = _minuted(t).join(t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_totalprice"), "doc_id")
+    quote = F.when(key % 3 == 2, "드론 배송 시범사업에 열 배의 예산을 편성하였다고 하였습니다").otherwise(said("내년도  본예산에 ", one_of(_THINGS, key), " 사업비 ", v, "백만원을 반영하겠습니다."))
+    rows = rows.select("doc_id", "day", "text", quote.alias("quote"), (v * 1_000_000 * F.when(key % 3 == 1, 10).otherwise(1)).cast("long").alias("budget")).withColumn("at", grounding.locate_quote("text", "quote"))
+    rows = rows.withColumn("span", F.when(F.col("at.found"), F.substring("text", F.col("at.start") + 1, F.col("at.end") - F.col("at.start"))))
+    rows = rows.withColumn("amounts", F.coalesce(F.transform(money.find_amounts("span"), lambda a: a["value"]), F.array().cast("array<long>")))
+    budget = F.when(key % 3 < 2, F.col("budget"))
+    verdict = grounding.verified(F.col("at"), F.col("span"), budget, F.col("amounts"), F.year("day") + 1, F.lit("내년도 본예산에"), F.col("day"), F.lit(0.8))
+    return rows.select("doc_id", "at.start", verdict.alias("v")).select("doc_id", "v.verdict", F.array_join("v.issues", ",").alias("issues"), "start", "v.budget_parsed")
 
+
+#: code, name, kind, province, district, aliases
 _INSTITUTIONS = [
     ("LG-11680", "서울특별시 강남구", "local_gov", "서울특별시", "강남구", ["강남구청"]), ("CN-11680", "서울특별시 강남구의회", "council", "서울특별시", "강남구", ["강남구의회"]),
     ("LG-41110", "경기도 수원시", "local_gov", "경기도", "수원시", ["수원시청"]), ("LG-36110", "세종특별자치시", "local_gov", "세종특별자치시", None, ["세종시청", "세종시"]), ("LG-26230", "부산광역시 부산진구", "local_gov", "부산광역시", "부산진구", []),
-    ("LG-41610", "경기도 광주시", "local_gov", "경기도", "광주시", []), ("LG-51110", "강원특별자치도 춘천시", "local_gov", "강원특별자치도", "춘천시", ["춘천시청"]), ("LG-30140", "대전광역시 중구", "local_gov", "대전광역시", "중구", []),
-    ("LG-11140", "서울특별시 중구", "local_gov", "서울특별시", "중구", []), ("LG-26350", "부산광역시 해운대구", "local_gov", "부산광역시", "해운대구", ["해운대구청"]),
-]
-_NAMES = [
-    ("서울특별시 강남구청 스마트도시과", None), ("강남구의회", None), ("수원특례시 정보통신과", None), ("세종시청", None), ("부산진구청", None), ("경기도 광주시", None), ("강원도 춘천시청 정보통신과", None),
-    ("중구청 기획예산과", None), ("중구청 기획예산과", "대전광역시"), ("서울교통공사", None), ("경기도 신성중학교", None), ("진주시 시설관리공단", None), (None, None),
-]
-_RESPONSE = '{"response":{"header":{"resultCode":"00"},"body":{"items":[{"orderPlanUntyNo":"P-9","bizNm":"쉘터 구축","nticeDt":"20260302","sumOrderAmt":"29,315,000","bidNtceNoList":"R26BK00000001000, R26BK00000002000","deptNm":""},{"bizNm":"no id"}],"totalCount":2}}}'
+    ("LG-30140", "대전광역시 중구", "local_gov", "대전광역시", "중구", []), ("LG-11140", "서울특별시 중구", "local_gov", "서울특별시", "중구", []), ("LG-26350", "부산광역시 해운대구", "local_gov", "부산광역시", "해운대구", ["해운대구청"]),
+]
+_SCHEMA = "code string, name string, kind string, sido string, sigungu string, aliases array<string>"
 
 
-@query("""SELECT raw, hint, code, method, department, candidates FROM (VALUES ('서울특별시 강남구청 스마트도시과', NULL, 'LG-11680', 'exact', '스마트도시과', []::VARCHAR[]), ('강남구의회', NULL, 'CN-11680', 'exact', NULL, []), ('수원특례시 정보통신과', NULL, 'LG-41110', 'exact', '정보통신과', []), ('세종시청', NULL, 'LG-36110', 'exact', NULL, []), ('부산진구청', NULL, 'LG-26230', 'exact', NULL, []), ('경기도 광주시', NULL, 'LG-41610', 'exact', NULL, []), ('강원도 춘천시청 정보통신과', NULL, 'LG-51110', 'exact', '정보통신과', []), ('중구청 기획예산과', NULL, NULL, 'ambiguous', '기획예산과', ['LG-11140', 'LG-30140']), ('중구청 기획예산과', '대전광역시', 'LG-30140', 'context', '기획예산과', []), ('서울교통공사', NULL, NULL, 'none', NULL, []), ('경기도 신성중학교', NULL, NULL, 'none', NULL, []), ('진주시 시설관리공단', NULL, NULL, 'none', '시설관리공단', []), (NULL, NULL, NULL, 'none', NULL, [])) v(raw, hint, code, method, department, candidates)""")
+@query("""SELECT c_custkey, ['LG-11680', 'CN-11680', 'LG-41110', 'LG-36110', 'LG-26230', NULL, NULL][1 + CAST(c_custkey % 7 AS INT)] AS code, ['exact', 'exact', 'exact', 'exact', 'exact', 'ambiguous', 'none'][1 + CAST(c_custkey % 7 AS INT)] AS method FROM customer""")
 def resolve_institution(t: Tables) -> DataFrame:
-    institutions = t.spark.createDataFrame(_INSTITUTIONS, "code string, name string, kind string, sido string, sigungu string, aliases array<string>")
-    return entities.resolve(t.spark.createDataFrame(_NAMES, "raw string, hint string"), institutions, "raw", "hint")
+    """Customers under names of institutions, by their keys."""
+    names_ = ("서울특별시 강남구청 스마트도시과", "강남구의회", "수원특례시 정보통신과", "세종시청", "부산진구청", "중구청 기획예산과", "서울교통공사")
+    rows = t.customer.select("c_custkey", one_of(names_, F.col("c_custkey")).alias("raw"))
+    return entities.resolve(rows, t.spark.createDataFrame(_INSTITUTIONS, _SCHEMA), "raw").select("c_custkey", "code", "method")
 
 
-@query("""SELECT * FROM (VALUES ('해운데구청', 'LG-26350', 1), ('강남구정', 'LG-11680', 1)) v(raw, code, edits)""")
+@query("""SELECT c_custkey, ['LG-26350', 'LG-41110'][1 + CAST(c_custkey % 3 AS INT)] AS code FROM customer WHERE c_custkey % 3 < 2""")
 def misread_institution(t: Tables) -> DataFrame:
-    institutions = t.spark.createDataFrame(_INSTITUTIONS, "code string, name string, kind string, sido string, sigungu string, aliases array<string>")
-    return entities.misread(t.spark.createDataFrame([("해운데구청",), ("강남구정",), ("아무개청",)], "raw string"), institutions)
+    """Customers under names that a letter is misread in, and one that is no institution's."""
+    rows = t.customer.select("c_custkey", one_of(("부산광역시 해운데구", "경기도 수윈시", "아무개청"), F.col("c_custkey")).alias("raw"))
+    return rows.join(entities.misread(rows, t.spark.createDataFrame(_INSTITUTIONS, _SCHEMA)), "raw").select("c_custkey", "code")
 
 
-@query()
-def procurement_records(t: Tables) -> DataFrame:
-    landed = t.spark.createDataFrame([(_RESPONSE,)], "value string").select(F.try_parse_json("value").alias("body"))
-    items = landed.select(F.explode(records.envelope_items(F.col("body"))).alias("item"))
-    rows = records.mapped(items, "order_plan")
-    return rows.withColumn("content_hash", records.content_hash(F.col("title"), F.lit(None).cast("string"), F.col("structured"))).drop("structured")
-
-
-#: chunk, council, day, text
-_EXCHANGES = [
-    (1, "강남구의회", date(2025, 11, 20), "○위원 이영희 스마트쉘터 확대 계획이 있습니까?\n○교통과장 박민수 내년도 본예산에 스마트쉘터 설치 사업비 3억 5천만원을 반영하겠습니다. 감사합니다."),
-    (2, "강남구의회", date(2025, 11, 20), "○위원 이영희 공공도서관은 어떻습니까?\n○문화과장 김하나 내부에서 살펴보겠습니다."),
-    (3, "수원시의회", date(2025, 9, 1), "○의원 정다운 CCTV 통합관제 고도화를 서둘러 주십시오.\n○안전과장 최가람 예산이 부족하여 추진이 어렵습니다."),
-    (4, "수원시의회", date(2025, 9, 1), "○위원장 김철수 산회를 선포합니다."),
-    (5, "수원시의회", date(2025, 9, 1), None),
-]
-_LINES = [
-    (1, "세부사업: 스마트쉘터 설치  350,000  0  350,000\nㅇ 쉘터 7개소", 1000, 2026), (2, "세부사업 CCTV 운영  20,000  0", 1000, 2026), (3, "세부사업: 보건소 운영 시스템 구축  1200000", 1, 2027),
-    (4, "세부사업: 이름만 있음", 1000, 2026), (5, "기타 경비 10,000", 1000, 2026), (6, None, 1000, 2026),
-]
-_RECORDS = [
-    (1, "order_plan", "2026년 스마트쉘터 구축사업", "LG-11680", 350_000_000, 2026, 9, None, None, date(2026, 3, 2)), (2, "bid_notice", "[긴급] CCTV 설치 (긴급)", "CN-11680", None, None, None, "취소공고", "R26BK00000001", date(2026, 5, 2)),
-    (3, "prespec", "무엇인가", None, 5, None, 6, None, None, date(2026, 5, 3)),
-]
+def _labels(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("label"))
 
 
-@query("""SELECT * FROM (VALUES (1, '스마트쉘터 설치', 'smart_city', 'committed', 350000000, 2026, NULL, '내년도 본예산에 스마트쉘터 설치 사업비 3억 5천만원을 반영하겠습니다.', 0.8::DOUBLE), (3, 'CCTV 통합관제 고도화', 'safety_cctv', 'declined', NULL, NULL, NULL, '예산이 부족하여 추진이 어렵습니다.', 0.54)) v(chunk, title, category, commitment, budget_krw, year, half, evidence, confidence)""")
-def council_signals(t: Tables) -> DataFrame:
-    """Signals read off exchanges of council minutes; the SQL has the rows that were worked out by hand."""
-    rows = extraction.council_signals(t.spark.createDataFrame(_EXCHANGES, "chunk long, council string, day date, text string"))
-    return rows.select("chunk", "title", "category", "commitment", "budget_krw", "timing.year", "timing.half", F.array_join("evidence", " / ").alias("evidence"), "confidence")
+@query()
+def misread_labels(t: Tables) -> DataFrame:
+    """Labels of parts with a letter lost and one misread, by the part's key, and the label they are closest to."""
+    at = F.pmod(F.col("p_partkey") * 7, F.length("label")).cast("int")
+    lost = F.concat(F.substring("label", F.lit(1), at), F.substring("label", at + 2, F.length("label")))
+    rows = _labels(t).select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, lost).otherwise(F.regexp_replace(lost, "mall", "rnall")).alias("raw"))
+    known = _labels(t).select(F.col("label").alias("alias"), F.col("label").alias("code")).distinct()
+    return rows.join(names.closest(rows, known), "raw", "left").select("p_partkey", "raw", "code", F.round("likeness", 6).alias("likeness"))
 
 
-@query("""SELECT * FROM (VALUES (1, '스마트쉘터 설치', 'smart_city', 350000000, 2026, '세부사업: 스마트쉘터 설치  350,000  0  350,000'), (3, '보건소 운영 시스템 구축', 'welfare_care', 1200000, 2027, '세부사업: 보건소 운영 시스템 구축  1200000')) v(block, title, category, budget_krw, expected_year, evidence)""")
-def budget_signals(t: Tables) -> DataFrame:
-    rows = extraction.budget_signals(t.spark.createDataFrame(_LINES, "block long, text string, unit long, fiscal_year int"))
-    return rows.select("block", "title", "category", "budget_krw", "expected_year", F.array_join("evidence", " / ").alias("evidence"))
+@query(f"""SELECT 'P' || o_orderkey AS external_id, thing || ' ' || o_orderkey AS title, day AS published_at, CASE WHEN v >= 10000 THEN v END AS amount_krw, 'R26BK' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS bid FROM {_MINUTES_SQL}""")
+def procurement_records(t: Tables) -> DataFrame:
+    """Orders as landed responses of ten items each, taken apart and mapped."""
+    key, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    item = F.struct(said("P", key).alias("orderPlanUntyNo"), said(one_of(_THINGS, key), " ", key).alias("bizNm"), F.date_format("o_orderdate", "yyyyMMdd").alias("nticeDt"), F.format_number(v, 0).alias("sumOrderAmt"), said("R26BK", F.lpad(key.cast("string"), 8, "0"), "000").alias("bidNtceNoList"))
+    pages = t.orders.groupBy(F.floor(key / 10).alias("page")).agg(F.collect_list(item).alias("items"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.lit("00").alias("resultCode")).alias("header"), F.struct("items").alias("body")).alias("response")))
+    items = pages.select(F.try_parse_json(body).alias("body")).select(F.explode(records.envelope_items(F.col("body"))).alias("item"))
+    return records.mapped(items, "order_plan").select("external_id", "title", "published_at", "amount_krw", F.array_join("bid_notice_nos", ",").alias("bid"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'order_plan', 'LG-11680', '스마트쉘터 구축사업', 'smart_city', 350000000, 2026, 'H2', 0.99::DOUBLE, 'accepted', NULL, DATE '2026-03-02'), (2, 'bid_notice', 'LG-11680', 'CCTV 설치', 'safety_cctv', NULL, 2026, NULL, 0.99, 'accepted', 'R26BK00000001', DATE '2026-05-02'), (3, 'prespec', NULL, '무엇인가', 'other', 5, 2026, 'H1', 0.6, 'needs_review', NULL, DATE '2026-05-03')) v(doc_id, stage, institution_code, title, category, budget_krw, expected_year, expected_half, confidence, verdict, cancels_bid_notice_no, observed_at)""")
+@query(f"""SELECT o_orderkey AS doc_id, ['order_plan', 'prespec', 'bid_notice'][1 + CAST(o_orderkey % 3 AS INT)] AS stage, CASE WHEN o_orderkey % 5 > 0 THEN 'LG-' || (o_orderkey % 5) END AS institution_code, v AS budget_krw, CASE WHEN month(day) <= 6 THEN 'H1' ELSE 'H2' END AS expected_half, CASE WHEN o_orderkey % 5 > 0 THEN 'accepted' ELSE 'needs_review' END AS verdict, CASE WHEN o_orderkey % 7 = 0 THEN 'R' || o_orderkey END AS cancels_bid_notice_no, {_KIND_SQL} AS category FROM {_ORDERS_SQL}""")
 def record_signals(t: Tables) -> DataFrame:
-    docs = t.spark.createDataFrame(_RECORDS, "doc_id long, doc_type string, title string, institution_code string, amount_krw long, order_year int, order_month int, notice_kind string, bid_notice_no string, published_at date")
-    return extraction.record_signals(docs, t.spark.createDataFrame([("CN-11680", "LG-11680")], "code string, executive_code string"))
-
-
-@query("""SELECT * FROM (VALUES ('2026년도 본예산서', 2026, 'main'), ('2025년도 제1회 추경 예산서', 2025, 'supplementary'), ('예산서', NULL, 'main')) v(title, fiscal_year, budget_kind)""")
-def budget_title_facts(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("2026년도 본예산서",), ("2025년도 제1회 추경 예산서",), ("예산서",)], "title string")
-    return rows.select("title", text.title_facts(F.col("title")).alias("x")).select("title", "x.*")
+    """Orders as records of three kinds, some of councils, whose demand is their executives', some without an owner."""
+    key = F.col("o_orderkey")
+    code = F.when(key % 5 == 0, F.lit(None)).when(key % 2 == 0, said("CN-", key % 5)).otherwise(said("LG-", key % 5))
+    docs = t.orders.select(
+        key.alias("doc_id"), one_of(("order_plan", "prespec", "bid_notice"), key).alias("doc_type"), one_of(_THINGS, key).alias("title"), code.alias("institution_code"), F.floor("o_totalprice").cast("long").alias("amount_krw"), F.year("o_orderdate").alias("order_year"),
+        F.month("o_orderdate").alias("order_month"), F.when(key % 7 == 0, "취소공고").alias("notice_kind"), said("R", key).alias("bid_notice_no"), F.to_date("o_orderdate").alias("published_at"),
+    )
+    owners = t.spark.range(1, 5).select(said("CN-", F.col("id")).alias("code"), said("LG-", F.col("id")).alias("executive_code"))
+    return extraction.record_signals(docs, owners).select("doc_id", "stage", "institution_code", "budget_krw", "expected_half", "verdict", "cancels_bid_notice_no", "category")
 
 
-@query("""SELECT * FROM (VALUES ('CCTV 교통 버스', 'mobility', 0.6::DOUBLE), ('스마트쉘터', 'smart_city', 1.0), ('아무 말', 'other', 0.0)) v(said, category, confidence)""")
-def category_vote(t: Tables) -> DataFrame:
-    """CCTV weighs 2, 교통 and 버스 1.5 each."""
-    rows = t.spark.createDataFrame([("CCTV 교통 버스",), ("스마트쉘터",), ("아무 말",)], "said string")
-    return rows.select("said", text.category_votes(F.col("said")).alias("x")).select("said", "x.*")
+@query(f"""SELECT o_orderkey AS doc_id, kind, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM (
+SELECT o_orderkey, 'budget_line' AS kind, 8 AS start, 8 + length(line) + 1 + length('ㅇ 1개소') AS "end" FROM {_BOOK_SQL} WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'record', 0, 7 + length(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderkey % 4 = 1
+UNION ALL SELECT o_orderkey, unnest(['procedure', 'exchange', 'procedure']), unnest([0, length(first) + 1, length(first) + length(exchange) + 11]), unnest([length(first), length(first) + length(exchange) + 1, length(first) + length(exchange) + 11 + length(last)]) FROM {_MINUTES_SQL} WHERE o_orderkey % 4 = 2
+UNION ALL SELECT o_orderkey, 'text', unnest([0, 1300]), unnest([1500, 1501 + o_orderkey % 300]) FROM orders WHERE o_orderkey % 4 = 3)""")
+def chunks_by_type(t: Tables) -> DataFrame:
+    """Every order as a document of one of four types."""
+    key = F.col("doc_id")
+    both = _minuted(t).join(_book(t).withColumnRenamed("text", "book"), "doc_id")
+    words = F.when(key % 4 == 0, F.col("book")).when(key % 4 == 1, said("입찰공고 번호", key)).when(key % 4 == 2, F.col("text")).otherwise(F.repeat(F.lit("가"), (1501 + key % 300).cast("int")))
+    docs = both.select("doc_id", one_of(("budget_book", "bid_notice", "council_minutes", "other"), key).alias("doc_type"), words.alias("text"))
+    return chunking.by_type(docs).select("doc_id", "kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
-@query("""SELECT * FROM (VALUES (1, '강남구'), (2, '수원시'), (3, NULL)) v(id, said)""")
-def decoded_text(t: Tables) -> DataFrame:
-    """The same script in two encodings, and nothing."""
-    raw = [(1, bytearray("강남구".encode())), (2, bytearray("수원시".encode("cp949"))), (3, None)]
-    return t.spark.createDataFrame(raw, "id int, raw binary").select("id", text.decoded(F.col("raw")).alias("said"))
+@query()
+def opportunities_of_orders(t: Tables) -> DataFrame:
+    """What the opportunities of all orders come to on a day after the last of them."""
+    rows = order_signals(t)
+    return linkage.opportunities(rows, linkage.link(rows), F.lit("2001-09-01").cast("date"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'exchange', '위원 이영희', 0, 12), (2, 'record', '', 0, 4), (3, 'budget_line', '교통과', 8, 31), (4, 'text', '', 0, 1500), (4, 'text', '', 1300, 1600)) v(doc_id, kind, labels, start, "end")""")
-def chunks_by_type(t: Tables) -> DataFrame:
-    docs = t.spark.createDataFrame([(1, "council_minutes", "○위원 이영희 예산은?"), (2, "bid_notice", "입찰공고"), (3, "budget_book", "부서: 교통과\n세부사업: 스마트쉘터 설치  350,000"), (4, "other", "가" * 1600), (5, "other", " ")], "doc_id long, doc_type string, text string")
-    return chunking.by_type(docs).select("doc_id", "kind", F.array_join("labels", ",").alias("labels"), "start", "end")
+@query()
+def recommend_to_customers(t: Tables) -> DataFrame:
+    """The best 20 orders, as open opportunities, of every tenth customer, by a keyword, a region and an embedding made of the key."""
+    key = F.col("o_orderkey")
+    live = order_signals(t).select(
+        F.col("signal_id").alias("opportunity_id"), "title", "keywords", "category", "embedding", F.lit("open").alias("status"), F.lpad(F.pmod("signal_id", F.lit(17)).cast("string"), 2, "0").alias("region_code"),
+        F.col("budget_krw").alias("est_budget_krw"), F.lit(0.85).alias("conversion_prob"), F.col("observed_at").alias("bid_window_start"), F.date_add("observed_at", 90).alias("bid_window_end"),
+    )
+    k = F.col("c_custkey")
+    word = said(F.pmod(k, F.lit(97)), "호")
+    profiles = t.customer.where("c_custkey % 10 = 0").select(
+        k.alias("org_id"), F.array(word).alias("p_keywords"), F.array(one_of(_THINGS, k + 1)).alias("p_exclude"), F.array().cast("array<string>").alias("p_categories"), F.array(F.lpad(F.pmod(k, F.lit(17)).cast("string"), 2, "0")).alias("p_regions"),
+        F.lit(None).cast("long").alias("p_budget_min"), F.lit(None).cast("long").alias("p_budget_max"), said(one_of(_THINGS, k), " ", word).alias("_words"),
+    ).withColumn("p_embedding", vectors.hashed_features(64)("_words")).drop("_words")
+    return ranking.recommend(profiles, live, F.lit("1998-01-01").cast("date"), 20, 32, 4).select("org_id", "opportunity_id", "score")

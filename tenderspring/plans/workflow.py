@@ -166,13 +166,14 @@ def settled_amounts(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", extraction.settled_amount(claimed, parsed, F.col("l_returnflag") == "A").alias("amount"))
 
 
-@query("""SELECT k AS opportunity_id, k % 2000 AS org, 100000000 + (k * 7919) % 900000007 AS budget, DATE '2026-01-01' + CAST((k * 31) % 365 AS INT) AS day, ['open', 'bid_open', 'closed', 'dormant'][1 + k % 4] AS status FROM range(100000) r(k)""")
+@query("""SELECT k * 8 + j AS opportunity_id, (k * 8 + j) % 2000 AS org, 100000000 + ((k * 8 + j) * 7919) % 900000007 AS budget, DATE '2026-01-01' + CAST(((k * 8 + j) * 31) % 365 AS INT) AS day, ['open', 'bid_open', 'closed', 'dormant'][1 + j % 4] AS status FROM (SELECT o_orderkey AS k, unnest(range(8)) AS j FROM orders)""")
 def bulk_opportunities(t: Tables) -> DataFrame:
-    """Opportunities for measuring, by arithmetic on their numbers."""
-    k = F.col("id")
+    """Eight opportunities of every order, for measuring, by arithmetic on its key."""
+    k = F.col("o_orderkey") * 8 + F.col("j")
     day = F.date_add(F.lit("2026-01-01").cast("date"), F.pmod(k * 31, F.lit(365)).cast("int"))
-    status = F.get(F.array(*map(F.lit, ("open", "bid_open", "closed", "dormant"))), F.pmod(k, F.lit(4)).cast("int"))
-    return t.spark.range(100_000).select(k.alias("opportunity_id"), (k % 2000).alias("org"), (100_000_000 + (k * 7919) % 900_000_007).alias("budget"), day.alias("day"), status.alias("status"))
+    status = F.get(F.array(*map(F.lit, ("open", "bid_open", "closed", "dormant"))), F.pmod("j", F.lit(4)).cast("int"))
+    rows = t.orders.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    return rows.select(k.alias("opportunity_id"), (k % 2000).alias("org"), (100_000_000 + (k * 7919) % 900_000_007).alias("budget"), day.alias("day"), status.alias("status"))
 
 
 @query("""SELECT o_orderkey, concat_ws(' | ', 'order', o_orderpriority, CASE WHEN o_orderstatus <> 'O' THEN 'status: ' || o_orderstatus END, 'customer: ' || c_name) AS line FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")

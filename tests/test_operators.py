@@ -3,17 +3,17 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tenderspring.operators import linkage, ranking, relational
-from tenderspring.plans import QUERIES
+from korean_world import WORLD
 
 
 def test_threads(spark):
-    rows = {r.signal_id: r for r in QUERIES["link_world"](spark, "").collect()}
+    rows = {r.signal_id: r for r in WORLD["link_world"](spark).collect()}
     assert {s: r.opportunity_id for s, r in rows.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7, 8: 6, 9: 6, 10: 6, 11: 11}
     assert rows[4].method == "ref" and rows[8].method == "ref" and rows[5].method == "seed"
 
 
 def test_opportunities(spark):
-    rows = {r.opportunity_id: r for r in QUERIES["opportunities_world"](spark, "").collect()}
+    rows = {r.opportunity_id: r for r in WORLD["opportunities_world"](spark).collect()}
     a, c = rows[1], rows[6]
     assert (a.status, a.stage, a.title, a.signal_count, a.conversion_prob, a.best_commitment) == ("bid_open", "bid_notice", "스마트쉘터 구축", 4, 1.0, "committed")
     # The tender was withdrawn: the pre-specification is what is left.
@@ -49,11 +49,11 @@ def test_ranking_parts(spark):
 
 
 def test_chunks(spark):
-    kinds = [r.kind for r in QUERIES["minutes_chunks"](spark, "").orderBy("start").collect()]
+    kinds = [r.kind for r in WORLD["minutes_chunks"](spark).orderBy("start").collect()]
     assert kinds == ["procedure", "exchange", "procedure"]
-    blocks = QUERIES["budget_chunks"](spark, "").orderBy("start").collect()
+    blocks = WORLD["budget_chunks"](spark).orderBy("start").collect()
     assert [b.department for b in blocks] == ["교통과", "안전과"] and blocks[0].end - blocks[0].start > 40
-    verdicts = {r.claim: (r.verdict, r.method) for r in QUERIES["ground_quote"](spark, "").collect()}
+    verdicts = {r.claim: (r.verdict, r.method) for r in WORLD["ground_quote"](spark).collect()}
     assert verdicts == {"a": ("accepted", "exact"), "b": ("needs_review", "exact"), "c": ("rejected", "missing"), "d": ("accepted", "fuzzy")}
 
 
@@ -92,10 +92,9 @@ def test_long_exchanges_are_cut_after_a_full_stop(spark):
 
 
 def test_measured_conversion_takes_the_place_of_priors(spark):
-    from tenderspring.plans.korean import TODAY, signals
-    from tenderspring.plans.registry import Tables
+    from korean_world import TODAY, Spark, signals
 
-    df = signals(Tables(spark, ""))
+    df = signals(Tables(spark))
     links = linkage.link(df)
     rates = spark.createDataFrame([("council_mention:reviewing", 0.5), ("order_plan:none", 0.4)], "cohort string, rate double")
     got = {r.opportunity_id: r.conversion_prob for r in linkage.opportunities(df, links, F.lit(TODAY), rates).collect()}

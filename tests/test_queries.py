@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from korean_world import EXPECTED, WORLD
 
 from tenderspring.plans import ORACLE_SQL, QUERIES
 
@@ -41,7 +42,17 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[columns.index(c)]) for c in names) for r in found.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["ground_quote", "minutes_chunks", "budget_chunks", "money_parse", "timing_parse", "titles_and_categories"])
+@pytest.mark.parametrize("name", sorted(EXPECTED))
+def test_made_up_records_give_what_was_worked_out(spark, duck, name):
+    df = WORLD[name](spark)
+    names = sorted(df.columns)
+    found = duck.execute(EXPECTED[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == names
+    assert sorted(repr(tuple(plain(r[c]) for c in names)) for r in df.collect()) == sorted(repr(tuple(plain(r[columns.index(c)]) for c in names)) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["opportunities_of_orders", "recommend_to_customers", "chunk_plain"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

@@ -94,7 +94,7 @@ def test_long_exchanges_are_cut_after_a_full_stop(spark):
 def test_measured_conversion_takes_the_place_of_priors(spark):
     from korean_world import TODAY, Spark, signals
 
-    df = signals(Tables(spark))
+    df = signals(Spark(spark))
     links = linkage.link(df)
     rates = spark.createDataFrame([("council_mention:reviewing", 0.5), ("order_plan:none", 0.4)], "cohort string, rate double")
     got = {r.opportunity_id: r.conversion_prob for r in linkage.opportunities(df, links, F.lit(TODAY), rates).collect()}

@@ -63,6 +63,7 @@ class Trees:
     at: list[int]
     feature: list[int]
     texts: list[tuple[int, str]]
+    _ready: tuple | None = None
 
     def add(self, page: str) -> None:
         """Parses a page, however deep. Broken markup is read as browsers do in the plain cases: unclosed elements
@@ -71,6 +72,7 @@ class Trees:
         the ties between a block and what it lies in."""
         # Of this page: parent, kind, label, features of each node; the texts of leaves.
         parent, kind, label, features, texts = [-1], [0], [-1], [set()], {}
+        under: dict[int, tuple[int, int]] = {}
         features[0].add(0)
         stack, names, open_tags = [0], ["#"], Counter("#")
         run: list[str] = []
@@ -84,6 +86,7 @@ class Trees:
                 texts[len(parent)] = text
                 label.append(label[stack[-1]])
                 parent.append(stack[-1]), kind.append(1), features.append(set(_shape(text, linked)))
+                under[len(parent) - 1] = (len(text), min(linked, len(text)))
             linked = 0
 
         def pop_to(k: int) -> None:
@@ -150,14 +153,26 @@ class Trees:
             parent.append(up), kind.append(0), label.append(own if own >= 0 else label[up]), features.append(set(found))
         words(page[last:])
         close_run()
+        _weigh(parent, kind, features, under)
         self._merge(parent, kind, label, features, texts)
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """parent, kind, at and feature as arrays, and by depth: nodes, their parents, where each parent's children begin.
+        Parents come before their children and are gone through in order, so that children of one stand side by side."""
+        if self._ready is None or len(self._ready[0]) != len(self.parent):
+            parent, depth = np.array(self.parent, int), np.array(self.depth, int)
+            order = np.argsort(depth, kind="stable")
+            cuts = np.searchsorted(depth[order], np.arange(depth.max() + 2)) if len(depth) else np.zeros(1, int)
+            levels = [(x, parent[x], np.flatnonzero(np.concatenate(([True], np.diff(parent[x]) != 0)))) for x in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+            self._ready = parent, np.array(self.kind, int), np.array(self.at, int), np.array(self.feature, int), levels
+        return self._ready
+
     def _merge(self, parent: list[int], kind: list[int], label: list[int], features: list[set[int]], texts: dict[int, str]) -> None:
         """Takes over a page's nodes, an only child that is an element as one with its parent."""
         children = Counter(parent)
         to: list[int] = []
         for k, up in enumerate(parent):
-            if up >= 0 and kind[k] == 0 and children[up] == 1:
+            if up >= 0 and kind[k] != 1 and children[up] == 1:
                 to.append(to[up])
                 if label[k] >= 0:
                     self.label[to[up]] = label[k]
@@ -171,6 +186,27 @@ class Trees:
             self.at.append(node), self.feature.append(f)
 
 
+def _weigh(parent: list[int], kind: list[int], features: list[set[int]], under: dict[int, tuple[int, int]]) -> None:
+    """Features by the text under an element: how much, how much of the page's, how much of it in links; of a text, how much
+    of the page's it is."""
+    size, linked = [0] * len(parent), [0] * len(parent)
+    for k in range(len(parent) - 1, -1, -1):
+        own = under.get(k, (0, 0))
+        size[k], linked[k] = size[k] + own[0], linked[k] + own[1]
+        if parent[k] >= 0:
+            size[parent[k]] += size[k]
+            linked[parent[k]] += linked[k]
+    for k, n in enumerate(size):
+        if n:
+            share, links = n / size[0], linked[k] / n
+            large = 0 if share < 0.05 else 1 if share < 0.2 else 2 if share < 0.5 else 3 if share < 0.8 else 4
+            if kind[k] != 1:
+                kind[k] = 2 * (large >= 2)
+                features[k] |= {102 + min(7, n.bit_length() // 2), 110 + (0 if links < 0.1 else 1 if links < 0.35 else 2 if links < 0.7 else 3), 114 + large}
+            else:
+                features[k].add(119 + large)
+
+
 def _shape(text: str, linked: int) -> tuple[int, ...]:
     size, share = len(text), linked / len(text)
     return (
@@ -189,28 +225,25 @@ def trees(pages: list[str]) -> Trees:
 @dataclass
 class Model:
     """unary[f]: weight of feature f for content. tie[kind]: 2 x 2 log potentials of (parent, child), by the
-    child's kind (element or text)."""
+    child's kind: element, text, or element with a fifth of the page's text or more."""
 
     unary: np.ndarray
     tie: np.ndarray
 
     def beliefs(self, t: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Log beliefs (node, state), each child's message up, what comes to it from its parent without it, and its own part."""
-        n = len(t.parent)
-        parent, depth, kind = np.array(t.parent), np.array(t.depth), np.array(t.kind)
+        parent, kind, at, feature, levels = t.arrays()
+        n = len(parent)
         own = np.zeros((n, 2))
-        own[:, 1] = np.bincount(t.at, weights=self.unary[t.feature], minlength=n)
+        own[:, 1] = np.bincount(at, weights=self.unary[feature], minlength=n)
         tie = self.tie[kind]
         up, down = np.zeros((n, 2)), np.zeros((n, 2))
-        order = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[order], np.arange(depth.max() + 2)) if n else np.zeros(1, int)
-        levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        for nodes in levels[:0:-1]:
+        for nodes, above, starts in levels[:0:-1]:
             up[nodes] = np.logaddexp(tie[nodes, :, 0] + own[nodes, :1], tie[nodes, :, 1] + own[nodes, 1:])
-            np.add.at(own, parent[nodes], up[nodes])
+            own[above[starts]] += np.add.reduceat(up[nodes], starts)
         belief = own.copy()
-        for nodes in levels[1:]:
-            down[nodes] = belief[parent[nodes]] - up[nodes]
+        for nodes, above, _ in levels[1:]:
+            down[nodes] = belief[above] - up[nodes]
             belief[nodes] += np.logaddexp(tie[nodes, 0] + down[nodes, :1], tie[nodes, 1] + down[nodes, 1:])
         return belief, up, down, own
 
@@ -219,12 +252,13 @@ class Model:
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500)))
 
 
-def fit(pages: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1e-4) -> Model:
+def fit(pages: list[str], steps: int = 280, rate: float = 0.15, decay: float = 1e-4) -> Model:
     """Maximum likelihood on labelled pages, in which elements say data-main="1" or "0" for themselves and all
     below them up to the next that says. An element that says nothing counts as content if most characters
     under it do. Adam steps from zero, so that the result is the same each time."""
     t = trees(pages)
-    n, parent, kind = len(t.parent), np.array(t.parent), np.array(t.kind)
+    parent, kind, at, feature, _ = t.arrays()
+    n = len(parent)
     main, size = np.zeros(n), np.zeros(n)
     for node, text in t.texts:
         size[node], main[node] = len(text), len(text) * (t.label[node] == 1)
@@ -233,25 +267,25 @@ def fit(pages: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1
             size[parent[node]] += size[node]
             main[parent[node]] += main[node]
     y = (main * 2 > size).astype(int)
-    model = Model(np.zeros(FEATURES), np.zeros((2, 2, 2)))
+    model = Model(np.zeros(FEATURES), np.zeros((3, 2, 2)))
     child = np.flatnonzero(parent >= 0)
-    seen = np.zeros((2, 2, 2))
+    seen = np.zeros((3, 2, 2))
     np.add.at(seen, (kind[child], y[parent[child]], y[child]), 1)
-    slow, fast = np.zeros(FEATURES + 8), np.zeros(FEATURES + 8)
+    slow, fast = np.zeros(FEATURES + 12), np.zeros(FEATURES + 12)
     for step in range(1, steps + 1):
         belief, _, down, own = model.beliefs(t)
         p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500)))
-        unary = np.bincount(t.feature, weights=(y - p)[t.at], minlength=FEATURES)
+        unary = np.bincount(feature, weights=(y - p)[at], minlength=FEATURES)
         joint = model.tie[kind[child]] + down[child][:, :, None] + own[child][:, None, :]
         joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
         joint /= joint.sum(axis=(1, 2), keepdims=True)
-        expected = np.zeros((2, 2, 2))
+        expected = np.zeros((3, 2, 2))
         np.add.at(expected, kind[child], joint)
         gradient = np.concatenate((unary, (seen - expected).ravel())) / len(pages) - decay * np.concatenate((model.unary, model.tie.ravel()))
         slow, fast = 0.9 * slow + 0.1 * gradient, 0.999 * fast + 0.001 * gradient**2
         move = rate * (slow / (1 - 0.9**step)) / (np.sqrt(fast / (1 - 0.999**step)) + 1e-8)
         model.unary += move[:FEATURES]
-        model.tie += move[FEATURES:].reshape(2, 2, 2)
+        model.tie += move[FEATURES:].reshape(3, 2, 2)
     return model
 
 

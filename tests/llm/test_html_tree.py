@@ -35,7 +35,32 @@ def test_messages_give_exact_marginals(model):
 def test_held_out_labelled_pages(model):
     t = H.trees(labelled_pages(200, seed=99))
     p = model.marginals(t)
-    assert sum((p[n] >= 0.5) == (t.label[n] == 1) for n, _ in t.texts) / len(t.texts) > 0.985
+    right = [(p[n] >= 0.5) == (t.label[n] == 1) for n, _ in t.texts]
+    assert sum(right) / len(right) > 0.97
+    assert sum(len(x) for (_, x), ok in zip(t.texts, right, strict=True) if ok) / sum(len(x) for _, x in t.texts) > 0.96
+
+
+SAID = ["The council met again in spring, and after a long debate it agreed to build the new bridge over the river, which is to open in two years.", "A second paragraph follows the first, with some more words about the cost of it."]
+SIDE = '<div class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Other things happen</a></li><li><a href="/2">And more</a></li></ul></div>'
+AD = '<div class="ad">Buy now</div>'
+
+
+@pytest.mark.parametrize(
+    ("body", "wanted"),
+    [
+        (f"<article><h1>Bridge</h1><div><div><p>{SAID[0]}</p></div>{AD}</div>{AD}</article>", ["Bridge", SAID[0]]),
+        (f"<article><h1>Bridge</h1><div><div><div><p>{SAID[0]}</p></div>{AD}</div>{AD}</div>{AD}</article>", ["Bridge", SAID[0]]),
+        (f"<div class=row><div class=col><h2>Bridge</h2><div><img src=x><div><p>{SAID[0]}</p><p>{SAID[1]}</p></div></div></div>{SIDE}</div>", ["Bridge", *SAID]),
+        (f"<div class=row><div class=col><h2>Bridge</h2><div><img src=x><div><p>{SAID[0]}</p></div></div></div>{SIDE}</div>", ["Bridge", SAID[0]]),
+        (f'<div id="cookie-banner"><p>We use cookies to make the site better for you.</p></div><main><p>{SAID[0]}</p></main>', [SAID[0]]),
+        (f'<table><tr><td><a href="/">Home</a><br><a href="/a">About us</a><br><a href="/c">Contact</a></td><td><h1>Bridge</h1><p>{SAID[0]}</p><p>{SAID[1]}</p></td></tr></table>', ["Bridge", *SAID]),
+        (f'<article><h1>Bridge</h1><p>{SAID[0]}</p><div class="werbung">Jetzt kaufen</div><p>{SAID[1]}</p></article>', ["Bridge", *SAID]),
+        (f'<article><h1>Bridge</h1><p>{SAID[0]}</p><div class="publicite">Achetez maintenant</div><p>{SAID[1]}</p><section class="commentaires"><div><p>Tres bien, merci a tous.</p></div></section></article>', ["Bridge", *SAID]),
+    ],
+)
+def test_ordinary_layouts(model, body, wanted):
+    page = f'<html><body><header><h2>Daily Site</h2></header><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>{body}<footer><p>&copy; 2024 Site</p></footer></body></html>'
+    assert H.main_text([page], model)[0][0] == "\n\n".join(wanted)
 
 
 def test_given_pages(spark):

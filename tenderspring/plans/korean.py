@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text, vectors
-from ..operators import chunking, entities, extraction, grounding, linkage, names, ranking
+from ..operators import chunking, entities, extraction, grounding, linkage, names, process, ranking
 from ..sources import records
 from .registry import Tables, query
 
@@ -275,3 +275,17 @@ def recommend_to_customers(t: Tables) -> DataFrame:
         F.lit(None).cast("long").alias("p_budget_min"), F.lit(None).cast("long").alias("p_budget_max"), said(one_of(_THINGS, k), " ", word).alias("_words"),
     ).withColumn("p_embedding", vectors.hashed_features(64)("_words")).drop("_words")
     return ranking.recommend(profiles, live, F.lit("1998-01-01").cast("date"), 20, 32, 4).select("org_id", "opportunity_id", "score")
+
+
+@query(f"""SELECT doc_id, stage, owner_code, budget_krw, expected_year, category, start, CASE WHEN owner_code IS NULL THEN 'institution_unresolved' ELSE '' END AS issues, CASE WHEN owner_code IS NULL THEN 'needs_review' ELSE 'accepted' END AS verdict FROM (
+SELECT o_orderkey AS doc_id, 'council_mention' AS stage, CASE WHEN o_orderkey % 5 > 0 THEN 'LG-' || (o_orderkey % 5) END AS owner_code, (v % 90 + 10) * 1000000 AS budget_krw, year(day) + 1 AS expected_year, {_KIND_SQL} AS category, length(first) + 1 + strpos(exchange, '내년도') - 1 AS start FROM {_MINUTES_SQL} WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, 'budget_line', CASE WHEN o_orderkey % 5 > 0 THEN 'LG-' || (o_orderkey % 5) END, (v + 1000) * 1000, 2027, {_KIND_SQL}, 8 FROM {_BOOK_SQL} WHERE o_orderkey % 2 = 1)""")
+def signals_of_documents(t: Tables) -> DataFrame:
+    """Every order as minutes of a council or as a budget book, from document to checked signal."""
+    key = F.col("doc_id")
+    both = _minuted(t).join(_book(t).withColumnRenamed("text", "book"), "doc_id")
+    code = F.when(key % 5 > 0, said(F.when(key % 2 == 0, "CN-").otherwise("LG-"), key % 5))
+    docs = both.select("doc_id", F.when(key % 2 == 0, "council_minutes").otherwise("budget_book").alias("doc_type"), code.alias("institution_code"), "day", F.when(key % 2 == 1, 2027).alias("fiscal_year"), F.lit(1000).alias("unit"), F.when(key % 2 == 0, F.col("text")).otherwise(F.col("book")).alias("text"))
+    owners = t.spark.range(1, 5).select(said("CN-", F.col("id")).alias("code"), said("LG-", F.col("id")).alias("executive_code"))
+    found = process.text_signals(docs, owners)
+    return found.select("doc_id", "stage", "owner_code", "budget_krw", "expected_year", "category", F.get("at", F.lit(0))["start"].alias("start"), F.array_join("issues", ",").alias("issues"), "verdict")

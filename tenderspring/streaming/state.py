@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..storage import exists
+
 
 def deduplicated(stream: DataFrame, key: list[str], event_time: str, late: str = "3 days") -> DataFrame:
     """Each key once, within the days by which sources send their past again."""
@@ -70,5 +72,14 @@ def circuit_breaker(stream: DataFrame, key: str, event_id: str, event_time: str,
 
 
 def upsert_batches(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str):
-    """Starts a query that hands each micro-batch to `merge` and ends when all there is has been read."""
-    return stream.writeStream.foreachBatch(lambda batch, _: merge(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Starts a query that hands each micro-batch to `merge` and ends when all there is has been read. A batch whose merge
+    has ended is marked in the checkpoint and not merged again when Spark replays it; one that broke off within
+    `merge` is, so that a merge must be one transaction or give the same again."""
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        spark, mark = batch.sparkSession, f"{checkpoint}/merged/{batch_id}"
+        if not exists(spark, mark):
+            merge(batch)
+            spark.range(0).write.mode("overwrite").parquet(mark)
+
+    return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -48,3 +48,20 @@ def test_batches_are_merged(spark, source, tmp_path):
     seen = []
     state.upsert_batches(source([("a", T0), ("b", T0)], "k string, ts timestamp"), lambda b: seen.extend(r.k for r in b.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == ["a", "b"]
+
+
+def test_a_replayed_batch_is_merged_once(spark, tmp_path, source):
+    """A batch that was merged before the query broke off isn't merged again; one whose merge broke off is."""
+    seen, stream, cp = [], source([("a", T0)], "k string, ts timestamp"), str(tmp_path / "cp")
+
+    def broken(batch):
+        raise RuntimeError("broken")
+
+    with pytest.raises(Exception, match="broken"):
+        state.upsert_batches(stream, broken, cp).awaitTermination()
+    state.upsert_batches(stream, lambda b: seen.extend(r.k for r in b.collect()), cp).awaitTermination()
+    assert seen == ["a"]
+    (tmp_path / "cp" / "commits" / "0").unlink()  # as if the driver was lost between merge and commit
+    (tmp_path / "cp" / "commits" / ".0.crc").unlink(missing_ok=True)
+    state.upsert_batches(stream, lambda b: seen.extend(r.k for r in b.collect()), cp).awaitTermination()
+    assert seen == ["a"]

@@ -25,7 +25,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: Lengths that are sketched together; the later ones without what the earlier rule out.
 PASSES = ((1, 2), (3, 4))
 #: Rows of the sketch; bytes of text a cell; bounds of the width as powers of two (bits to all tasks: 8 x width at most).
-ROWS, BYTES_A_CELL, NARROWEST, WIDEST = 2, 64, 16, 27
+ROWS, BYTES_A_CELL, NARROWEST, WIDEST = 2, 128, 16, 27
 #: A row of a sketch is sent in so many slabs.
 SLABS = 256
 _CHUNK, _PART = 2 << 20, 2 << 20
@@ -202,7 +202,7 @@ def counted(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
 
     Null texts are empty, a null language is `und`. Repeated rows count each. A text of any length is taken
     whole. No documents: no rows. Extra columns aren't read. width: cells of a sketch's row, a power of two from
-    4096 on; by itself, a cell for each 64 bytes of text, 2**27 at most, so that at most 128 MB of bits go to all tasks.
+    4096 on; by itself, a cell for each 128 bytes of text or fewer, 2**27 at most, so that at most 128 MB of bits go to all tasks.
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     if width is None:

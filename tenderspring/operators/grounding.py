@@ -21,9 +21,9 @@ def locate_quote(sources: pd.Series, quotes: pd.Series) -> pd.DataFrame:
     for source, quote in zip(sources, quotes, strict=True):
         text, places = passages.plain(source or "")
         wanted = passages.wanted(quote or "")
-        found = passages.Passages([wanted], LEAST_SCORE).located(text) if len(wanted) >= passages.SHORTEST else []
+        found = passages.located_one(text, wanted) if len(wanted) >= passages.SHORTEST else None
         if found:
-            _, score, a, b = found[0]
+            _, score, a, b = found
             rows.append((True, round(score, 1), int(places[a]), int(places[b - 1]) + 1, "exact" if score == 100.0 else "fuzzy"))
         else:
             rows.append((False, 0.0, None, None, "missing"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..functions.text import let as _let
 from ..lexicon import CATEGORIES, COMMITMENT, VERBS
 from .chunking import _speaker
 
@@ -25,11 +24,6 @@ _PARTICLES, _BREAKS = r"[은는이가을를의에도]?[,.]?$", r"(?:[은는을
 _NAME_WORDS = 5
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sentences(words: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(words, F.lit(r"([^.?!。]+[.?!。]?)"), 1), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -39,10 +33,11 @@ def sides(chunk: Column) -> Column:
     empty = F.struct(F.lit(True).alias("asks"), F.array().cast("array<string>").alias("q"), F.array().cast("array<string>").alias("a"))
 
     def step(state: Column, line: Column) -> Column:
-        who = _speaker(F.trim(line))
-        asks = F.when(who.isNotNull(), who["role"].isin(*ASKING)).otherwise(state["asks"])
-        spoken = F.when(who.isNotNull(), F.regexp_replace(F.trim(line), r"^.\s*\S+\s+\S+\s*", "")).otherwise(line)
-        return F.struct(asks.alias("asks"), F.when(asks, F.array_append(state["q"], spoken)).otherwise(state["q"]).alias("q"), F.when(asks, state["a"]).otherwise(F.array_append(state["a"], spoken)).alias("a"))
+        who = _let(_speaker(F.trim(line)), lambda w: F.struct(w["role"].alias("role"), w.isNotNull().alias("new")))
+        said = _let(who, lambda w: F.struct(
+            F.when(w["new"], w["role"].isin(*ASKING)).otherwise(state["asks"]).alias("asks"), F.when(w["new"], F.regexp_replace(F.trim(line), r"^.\s*\S+\s+\S+\s*", "")).otherwise(line).alias("spoken"),
+        ))
+        return _let(said, lambda x: F.struct(x["asks"].alias("asks"), F.when(x["asks"], F.array_append(state["q"], x["spoken"])).otherwise(state["q"]).alias("q"), F.when(x["asks"], state["a"]).otherwise(F.array_append(state["a"], x["spoken"])).alias("a")))
 
     return F.aggregate(F.split(F.coalesce(chunk, F.lit("")), "\n"), empty, step, lambda s: F.struct(F.array_join(s["q"], " ").alias("question"), F.array_join(s["a"], " ").alias("answer")))
 
@@ -59,10 +54,10 @@ def project_name(words: Column) -> Column:
         def name(w: Column, i: Column) -> Column:
             first = F.greatest(F.lit(0), i - (_NAME_WORDS - 1))
             breaks = F.filter(F.sequence(first, i), lambda j: (j < i) & (F.get(parts, j).rlike(_BREAKS) | F.get(bare, j).isin(*FILLERS) | F.get(parts, j).rlike(r"^['’]?\d+[가-힣]*$")))
-            start = F.coalesce(F.array_max(breaks) + 1, first)
-            return F.when(is_end(w) & ~w.isin(*FILLERS), F.array_join(F.concat(F.slice(bare, start + 1, i - start), F.array(w)), " "))
+            joined = lambda start: F.array_join(F.concat(F.slice(bare, start + 1, i - start), F.array(w)), " ")
+            return F.when(is_end(w) & ~w.isin(*FILLERS), _let(F.coalesce(F.array_max(breaks) + 1, first), joined))
 
-        said = F.filter(F.array_compact(F.transform(bare, name)), lambda x: (F.length(x) >= 3) & F.exists(known, lambda k: F.lower(x).contains(k)))
+        said = F.filter(F.array_compact(F.transform(bare, name)), lambda x: (F.length(x) >= 3) & _let(F.lower(x), lambda low: F.exists(known, lambda k: low.contains(k))))
         return F.array_max(F.transform(said, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
 
     def bared(parts: Column) -> Column:
@@ -87,14 +82,15 @@ def council_signals(chunks: DataFrame, chunk: str = "text", day: str = "day") ->
 
     def read(x: Column) -> Column:
         """x has answer, both (with the question), level and title."""
-        votes = F.struct(text.category_votes(x["title"]).alias("own"), text.category_votes(x["both"]).alias("all"))
-        vote = _let(votes, lambda v: F.when(v["own"]["confidence"] >= 0.5, v["own"]).otherwise(v["all"]))
+        vote = _let(text.category_votes(x["title"]), lambda own: F.when(own["confidence"] >= 0.5, own).otherwise(text.category_votes(x["both"])))
         return _let(vote, lambda v: F.when(v["category"] != "other", told(x, v)))
 
     def told(x: Column, vote: Column) -> Column:
         best = F.array_max(F.transform(amounts, lambda a: F.struct(a["value"], a["raw"])))
+        return _let(F.struct(best.alias("best"), sentences(x["answer"]).alias("said")), lambda y: signal(x, vote, y["best"], y["said"]))
+
+    def signal(x: Column, vote: Column, best: Column, said: Column) -> Column:
         sure = x["level"].isin("committed", "planned")
-        said = sentences(x["answer"])
         promised = F.filter(said, lambda s: F.exists(phrases, lambda p: s.contains(p)))
         priced = F.filter(said, lambda s: F.exists(amounts, lambda a: s.contains(F.trim(a["raw"]))))
         evidence = F.slice(F.array_distinct(F.concat(promised, F.slice(priced, 1, 1))), 1, 3)
@@ -106,20 +102,22 @@ def council_signals(chunks: DataFrame, chunk: str = "text", day: str = "day") ->
 
     answer, question = F.col("_s.answer"), F.col("_s.question")
     given = F.struct(answer.alias("answer"), F.concat_ws(" ", question, answer).alias("both"), text.commitment_level(answer).alias("level"), F.coalesce(project_name(answer), project_name(question)).alias("title"))
-    signal = _let(given, lambda x: F.when(x["level"].isNotNull() & x["title"].isNotNull(), read(x)))
+    found = _let(given, lambda x: F.when(x["level"].isNotNull() & x["title"].isNotNull(), read(x)))
     # A generator, so that the one expression isn't computed again for a filter.
-    return rows.select(*chunks.columns, F.explode(F.array_compact(F.array(signal))).alias("_signal")).select(*chunks.columns, "_signal.*")
+    return rows.select(*chunks.columns, F.explode(F.array_compact(F.array(found))).alias("_signal")).select(*chunks.columns, "_signal.*")
 
 
 def budget_signals(blocks: DataFrame, block: str = "text", unit: str = "unit", fiscal_year: str = "fiscal_year") -> DataFrame:
     """Budget blocks whose first line names a 세부사업 with an amount, as signals: title, category, budget_krw (in the
     table's unit), expected_year, evidence. Running costs count only with a word of BUYING in the name."""
-    first = F.trim(F.split_part(F.col(block), F.lit("\n"), F.lit(1)))
-    after = F.trim(F.regexp_replace(first, r"^.*?세\s*부\s*사\s*업\s*[:：]?", ""))
-    amount = F.regexp_extract(after, r"\s(\d{1,3}(?:,\d{3})+|\d{4,})", 1)
-    title = F.trim(F.split_part(after, amount, F.lit(1)))
     has = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))
-    named = F.when((amount != "") & F.regexp_replace(first, r"\s", "").contains("세부사업"), title)
+
+    def parted(first: Column) -> Column:
+        return _let(F.trim(F.regexp_replace(first, r"^.*?세\s*부\s*사\s*업\s*[:：]?", "")), lambda after: F.struct(first.alias("first"), after.alias("after"), F.regexp_extract(after, r"\s(\d{1,3}(?:,\d{3})+|\d{4,})", 1).alias("amount")))
+
+    def named(x: Column) -> Column:
+        title = F.when((x["amount"] != "") & F.regexp_replace(x["first"], r"\s", "").contains("세부사업"), F.trim(F.split_part(x["after"], x["amount"], F.lit(1))))
+        return F.struct(title.alias("title"), x["amount"].alias("amount"), x["first"].alias("first"), text.category_votes(F.col(block))["category"].alias("category"))
 
     def read(x: Column) -> Column:
         fit = x["title"].isNotNull() & (~has(x["title"], OPERATING) | has(x["title"], BUYING)) & (x["category"] != "other")
@@ -128,7 +126,7 @@ def budget_signals(blocks: DataFrame, block: str = "text", unit: str = "unit", f
             F.col(fiscal_year).alias("expected_year"), F.array(x["first"]).alias("evidence"),
         ))
 
-    signal = _let(F.struct(named.alias("title"), amount.alias("amount"), first.alias("first"), text.category_votes(F.col(block))["category"].alias("category")), read)
+    signal = _let(_let(_let(F.trim(F.split_part(F.col(block), F.lit("\n"), F.lit(1))), parted), named), read)
     return blocks.select(*blocks.columns, F.explode(F.array_compact(F.array(signal))).alias("_signal")).select(*blocks.columns, "_signal.*")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import dates, money
 from . import chunking, extraction, passages
-from .grounding import FOUND, LEAST_SCORE
+from .grounding import FOUND
 
 STAGE = {"council_minutes": "council_mention", "budget_book": "budget_line"}
 
@@ -23,9 +23,9 @@ def located(sources: pd.Series, quotes: pd.Series) -> pd.Series:
         out = []
         for quote in own if own is not None else []:
             wanted = passages.wanted(quote or "")
-            found = passages.Passages([wanted], LEAST_SCORE).located(text) if len(wanted) >= passages.SHORTEST else []
+            found = passages.located_one(text, wanted) if len(wanted) >= passages.SHORTEST else None
             if found:
-                _, score, a, b = found[0]
+                _, score, a, b = found
                 out.append({"found": True, "score": round(score, 1), "start": int(places[a]), "end": int(places[b - 1]) + 1, "method": "exact" if score == 100.0 else "fuzzy"})
             else:
                 out.append({"found": False, "score": 0.0, "start": None, "end": None, "method": "missing"})
@@ -71,8 +71,7 @@ def text_signals(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """Checked signals of docs(doc_id, doc_type, institution_code, day, fiscal_year, unit, text): council minutes by their
     exchanges, budget books by their blocks. owners(code, executive_code): whose demand a council's words are."""
     known = docs.join(owners.select(F.col("code").alias("institution_code"), "executive_code"), "institution_code", "left").withColumn("owner_code", F.coalesce("executive_code", "institution_code"))
-    facts = known.select("doc_id", "doc_type", "owner_code", "day", "fiscal_year", "unit")
-    chunks = chunking.by_type(docs.where(F.col("doc_type").isin(*STAGE)).select("doc_id", "doc_type", "text")).join(facts, "doc_id").withColumnRenamed("start", "chunk_start").drop("end", "labels")
+    chunks = chunking.by_type(known.where(F.col("doc_type").isin(*STAGE)), carry=("doc_type", "owner_code", "day", "fiscal_year", "unit")).withColumnRenamed("start", "chunk_start").drop("end", "labels")
     none = lambda kind: F.lit(None).cast(kind)
     columns = ("doc_id", "doc_type", "text", "chunk_start", "day", "fiscal_year", "unit", "owner_code", "title", "category", "commitment", "budget_krw")
     said = extraction.council_signals(chunks.where("kind = 'exchange'"))

@@ -101,3 +101,25 @@ def test_measured_conversion_takes_the_place_of_priors(spark):
     assert got == {1: 1.0, 5: 0.5, 6: 0.98, 7: 0.4, 11: 0.35}
     means = {r.opportunity_id: r.embedding for r in linkage.mean_embeddings(df, links).collect()}
     assert set(means) == set(got) and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in means.values())
+
+
+def test_documents_are_taken_apart_where_they_are_read(spark):
+    from tenderspring.operators import chunking
+
+    docs = spark.createDataFrame([(1, "council_minutes", "앞\n○위원 이영희  질문\n(웃음)\n○과장 박민수 답변\n\n○의장 김철수 끝"), (1, "budget_book", "부서: 교통과\n세부사업: 쉘터 1,000\nㅇ 산출\n\n기타"), (None, "council_minutes", None), (2, "council_minutes", "말 없음")], "doc_id long, doc_type string, text string")
+    got = sorted((r.doc_id, r.kind, r.labels, r.start, r.end, r.text) for r in chunking.by_type(docs).collect())
+    assert got == [
+        (1, "budget_line", ["교통과"], 8, 27, "세부사업: 쉘터 1,000\nㅇ 산출"), (1, "exchange", ["위원 이영희", "과장 박민수"], 2, 29, "○위원 이영희  질문\n(웃음)\n○과장 박민수 답변"),
+        (1, "procedure", ["의장 김철수"], 31, 40, "○의장 김철수 끝"), (2, "text", [], 0, 4, "말 없음"),
+    ]
+    for rows in (chunking.by_type(docs), chunking.minutes(docs), chunking.budget_blocks(docs)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_part_of_an_expression_is_computed_once(spark):
+    from tenderspring.functions import dates, text
+
+    rows = spark.range(2).select(F.concat(F.lit("교통 CCTV "), F.col("id").cast("string")).alias("words"), F.lit("2025-11-20").cast("date").alias("day"))
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(text.category_votes(F.col("words"))).count("lower(") == 1
+    assert plan(dates.timing(F.col("words"), F.col("day"))).count("regexp_extract_all(") == 1

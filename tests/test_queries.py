@@ -75,3 +75,10 @@ def test_percentiles_gather_no_values(spark, tmp_path):
     assert {r.event_type: (r.p95, r.p50) for r in df.collect()} == {"one": (4.0, None), "many": (many[189], many[99]), "same": (2.5, 2.5)}
     for name in ("latency_percentiles", "lead_time_quartiles"):
         assert "collect_list" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_results_tell_all_that_their_operators_find(spark):
+    assert {"terms", "category", "confidence"} < set(QUERIES["titles_and_categories"](spark, SF).columns)
+    found = QUERIES["resolve_institution"](spark, SF)
+    assert {"department", "candidates"} < set(found.columns)
+    assert {"exact", "context", "ambiguous", "none"} == {r.method for r in found.select("method").distinct().collect()}

@@ -25,8 +25,8 @@ ORDER = 4
 #: Symbols of a text that are scored together: each window counts with the language that tells it best.
 WINDOW = 64
 #: One in so many learning texts, by the hash of its id, is left out of a second model, under which the rejection
-#: limits come from such texts; of CALIBRATION of them on average at most.
-TRIAL, CALIBRATION = 8, 20_000
+#: limits come from all such texts.
+TRIAL = 8
 #: A language's limits also count so many texts of a deviation of 0.2, for languages with few texts.
 PRIOR = 4
 #: Entries of a model (n-grams and contexts of all languages, 12 bytes each) that are sent to all tasks; a larger
@@ -375,10 +375,8 @@ def calibrated(held: DataFrame, model: Model, id_col: str, text_col: str, lang_c
     a second fit, as mislabelled or garbled ones would widen the limit. A language of which none is held has no limit."""
     if not model.langs:
         return {}
-    n = held.count()
-    part = held.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(1)), F.lit(1 << 20)) < max(1, min(1 << 20, CALIBRATION * (1 << 20) // max(1, n))))
     with scratch():
-        rows = settle(entropies(part, model, text_col, [F.col(f"`{lang_col}`").alias("lang")], most_broadcast), "calibration").where("n_letters > 0")
+        rows = settle(entropies(held, model, text_col, [F.col(f"`{lang_col}`").alias("lang")], most_broadcast), "calibration").where("n_letters > 0")
         names = F.array(*map(F.lit, model.langs)).cast("array<string>")
         told = rows.where(F.get(names, F.array_position("nats", F.array_min("nats")).cast("int") - 1) == F.col("lang")).select("lang", (1.0 / F.col("n_letters")).alias("x"), F.col("mixed").alias("y"))
         out: dict[str, tuple[float, float, float]] = {}

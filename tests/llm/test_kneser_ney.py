@@ -130,3 +130,17 @@ def test_rare_grams_of_a_large_language_are_kept(spark):
     nexts = sorted({x for t in texts[-2:] for x in symbols(t)})
     hi, lo = np.full(len(nexts), c[0] << 21 | c[1]), np.array([c[2] << 21 | x for x in nexts])
     assert 0.95 < np.exp(K.in_memory(model).log_probabilities(hi, lo, 0)).sum() <= 1.0 + 1e-6
+
+
+def test_limits_come_from_every_text_left_out(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def entropies(docs, *_):
+        raise Seen(docs.count())
+
+    monkeypatch.setattr(K, "entropies", entropies)
+    held = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("en").alias("lang"))
+    with pytest.raises(Seen) as seen:
+        K.calibrated(held, K.Model(["en"], [9], held, 9), "doc_id", "text", "lang", 6.0)
+    assert seen.value.args == (25_000,)

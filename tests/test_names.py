@@ -59,3 +59,14 @@ def test_words_are_mended(spark):
     cases = ["세부샤업: 스마트쉘티를 설치", "산출기쵸 및 세부사업", "스마트폴구축", "가나다라 마바사", "세출예산을", "", None, "산출기쵸로 산출기쵸에서, 산출기쵸"]
     got = ocr.corrected(spark.createDataFrame(list(enumerate(cases)), "id int, text string").repartition(3), lexicon, "id", "text").collect()
     assert {r.id: r.corrected for r in got} == dict(enumerate(["세부사업: 스마트쉘터를 설치", "산출기초 및 세부사업", "스마트폴구축", "가나다라 마바사", "세출예산", "", None, "산출기초 산출기초에서, 산출기초"]))
+
+
+def test_blocks_and_long_names_against_all_pairs(spark, monkeypatch):
+    """Labels that share most of their words, of 20 to 150 letters, in many small blocks: none is compared as a row of its own."""
+    monkeypatch.setattr(N, "BLOCK", 16), monkeypatch.setattr(N, "KNOWN", 10), monkeypatch.setattr(N, "CHUNK", 3)
+    rng = random.Random(5)
+    known = [(" ".join(rng.choice(("large", "small", "blue", "ring", "bolt", "plate")) for _ in range(rng.choice((4, 5, 13, 27)))) + f" #{k % 7}", f"C{k % 45}") for k in range(60)]
+    names = [x[:at] + x[at + 1 :] for x, _ in known for at in (rng.randrange(len(x)), rng.randrange(len(x)))]
+    got = N.closest(spark.createDataFrame([(n,) for n in names], "raw string"), spark.createDataFrame(known, "alias string, code string"), margin=1.0).collect()
+    want = brute(names, known, N.LEAST, 1.0)
+    assert {r.raw: (r.code, round(r.likeness, 9)) for r in got} == {k: (c, round(v, 9)) for k, (c, v) in want.items()} and len(got) == len(want) > 50

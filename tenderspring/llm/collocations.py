@@ -29,6 +29,9 @@ ROWS, BYTES_A_CELL, NARROWEST, WIDEST = 2, 128, 16, 27
 #: A row of a sketch is sent in so many slabs.
 SLABS = 256
 _CHUNK, _PART = 2 << 20, 2 << 20
+#: Different phrases that a task holds at most before it sends half as many or more; how lists of them are packed.
+HELD = 1 << 21
+_ZSTD = pa.Codec("zstd", compression_level=6)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -219,24 +222,76 @@ def counted(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
         may = _ruling(docs.sparkSession, bits, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for found, names in grams(batches):
             n, langs = len(found.word), pa.array(names, pa.string())
             numbers, totals = np.unique(found.lang, return_counts=True)
-            out = [(0, langs.take(pa.array(numbers)), pa.array([""] * len(numbers), pa.large_string()), totals)]
+            out = [(0, langs.take(pa.array(numbers)), pa.array([b""] * len(numbers), pa.large_binary()), totals, np.zeros(len(numbers), U))]
             live, ids = np.ones(n + 1, bool), found.lang
             for k, at, hashes in found.levels():
                 ok = may(k, hashes) & live[at] & live[np.minimum(at + (k > 1), n)]
-                at = at[ok]
+                at, own = at[ok], np.zeros(n, U)
+                own[at] = hashes[ok]
                 live = np.zeros(n + 1, bool)
                 live[at] = True
                 first, counts, number = found.counted(k, at, ids[at])
-                out.append((k, langs.take(pa.array(found.lang[first])), found.phrases(k, first), counts))
+                out.append((k, langs.take(pa.array(found.lang[first])), found.phrases(k, first).cast(pa.large_binary()), counts, own[first] >> U(58)))
                 ids = np.zeros(n, np.int64)
                 ids[at] = number
-            for k, lang, phrase, counts in out:
-                yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(counts), k, np.int32)), phrase.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "k", "phrase", "a"])
+            held += [pa.table({"lang": lang, "k": np.full(len(a), k, np.int32), "bucket": bucket.astype(np.int32), "phrase": phrase, "a": a.astype(np.int64)}) for k, lang, phrase, a, bucket in out]
+            if sum(len(x) for x in held) >= HELD:
+                held = [_summed(held)]
+                if len(held[0]) >= HELD // 2:
+                    yield from _listed(held.pop())
+        if held:
+            yield from _listed(_summed(held))
 
-    return texts.mapInArrow(run, "lang string, k int, phrase string, a long").groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a")).where((F.col("k") == 0) | (F.col("a") >= least))
+    return _added(texts.mapInArrow(run, "lang string, k int, bucket int, n int, size int, packed binary"), least)
+
+
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by(["lang", "k", "bucket", "phrase"], use_threads=False).aggregate([("a", "sum")]).rename_columns({"a_sum": "a"})
+
+
+def _listed(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(lang, k, bucket, n, size, packed) of counts: n phrases in order, a line each (none has a line's end), and their counts of 8
+    bytes; size bytes when unpacked. Phrases that begin alike stand together, so that they take little room."""
+    counts = counts.sort_by([(c, "ascending") for c in ("lang", "k", "bucket", "phrase")])
+    keys = list(zip(*(counts.column(c).to_pylist() for c in ("lang", "k", "bucket")), strict=True))
+    phrases, numbers, out, at = counts.column("phrase").to_pylist(), counts.column("a").to_numpy(), [], 0
+    for to in [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)] * bool(keys):
+        # Bytes of one place together: nearly all are zero.
+        raw = b"\n".join(phrases[at:to]) + np.ascontiguousarray(numbers[at:to].astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+        out.append((*keys[at], to - at, len(raw), _ZSTD.compress(raw, asbytes=True)))
+        at = to
+    for i in range(0, len(out), 1000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000], strict=True), [pa.string(), *[pa.int32()] * 4, pa.binary()], strict=True)], ["lang", "k", "bucket", "n", "size", "packed"])
+
+
+def _added(lists: DataFrame, least: int) -> DataFrame:
+    """(lang, k, phrase, a): the lists of all tasks added up; phrases of fewer than `least` occurrences are left out."""
+
+    def whole(key: list, total: dict[bytes, int]) -> pa.RecordBatch:
+        kept = [(p, a) for p, a in total.items() if a >= least or key[1] == 0]
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(kept), pa.string()), pa.array([key[1]] * len(kept), pa.int32()), pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()), pa.array([a for _, a in kept], pa.int64())], ["lang", "k", "phrase", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, {}
+        for batch in batches:
+            for *key, n, size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if now:
+                        yield whole(now, total)
+                    now, total = key, {}
+                raw = pa.decompress(packed, size, "zstd", asbytes=True)
+                counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, size - 8 * n).reshape(8, n).T).view("<u8").ravel()
+                for phrase, a in zip(raw[: size - 8 * n].split(b"\n"), counts.tolist(), strict=True):
+                    total[phrase] = total.get(phrase, 0) + a
+        if now:
+            yield whole(now, total)
+
+    order = ("lang", "k", "bucket")
+    return lists.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "lang string, k int, phrase string, a long")
 
 
 def _part(start: Column, size: Column) -> Column:

@@ -60,3 +60,19 @@ def test_large_products_are_exact(spark):
 
 def test_no_rows(spark):
     assert C.mined(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_counts_of_a_task_are_sent_in_parts(spark, monkeypatch):
+    """Lists of few phrases each, sent whenever some are held, add up to the same counts; what goes over the wire is packed."""
+    rows = [(("en", "fr", None)[i % 3], f"the tender of city {i % 5}, a b {i % 11} été. " * 3) for i in range(400)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want = {tuple(r) for r in C.counted(docs, width=4096).collect()}
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        # With more than are different, what is held is added up now and then; with few, each batch is sent.
+        for held in (20, 1000):
+            monkeypatch.setattr(C, "HELD", held)
+            assert {tuple(r) for r in C.counted(docs, width=4096).collect()} == want and len(want) > 50
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)

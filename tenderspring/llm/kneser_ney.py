@@ -32,6 +32,12 @@ PRIOR = 4
 #: Entries of a model (n-grams and contexts of all languages, 12 bytes each) that are sent to all tasks; a larger
 #: model stays a table and is joined.
 MOST_BROADCAST = 16_000_000
+#: Cells of a table that numbers values (5 bytes each, in every Python worker); beyond it they are sorted.
+MOST_CELLS = 1 << 22
+#: Bytes of text that a Python worker takes apart at once.
+CHUNK = 1 << 18
+#: Texts that go to a Python worker at once where a step writes its own table.
+BATCH = 1024
 _LOW = (1 << 21) - 1
 
 
@@ -55,29 +61,33 @@ def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(is_letter, raw, 0)[keep], place[begins], np.diff(np.concatenate(([0], np.cumsum(is_letter)))[begins])
 
 
+def _numbered(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and which one each is, of values from 0 to bound - 1."""
+    if bound > MOST_CELLS:
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(bound, bool)
+    there[values] = True
+    once = np.flatnonzero(there)
+    number = np.zeros(bound, np.int32)
+    number[once] = np.arange(len(once))
+    return once, number[values].astype(np.int64)
+
+
 def _grams(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every 4-gram: (two characters, two characters) packed, once each; which one each position has; where texts begin."""
-    alphabet, code = np.unique(symbols, return_inverse=True)
+    """Every 4-gram: (two characters, two characters) packed, once each; which one each position has; where texts begin.
+
+    Pairs of symbols are numbered first, then pairs of pairs: few pairs occur, so the tables stay small."""
+    alphabet, code = _numbered(symbols, int(symbols.max(initial=0)) + 1)
     k = len(alphabet)
-    packed = np.zeros(len(code), np.int64)
-    for i in range(ORDER):
-        packed[ORDER - 1 :] += code[i : len(code) - (ORDER - 1) + i] * k ** (ORDER - 1 - i)
+    twos, two = _numbered(code[:-1] * k + code[1:], k * k)
+    m = len(twos)
     inside = np.ones(len(code), bool)
     for i in range(ORDER - 1):
         inside[begins[:-1] + i] = False
-    packed = packed[inside]
-    if k**ORDER <= 1 << 25:
-        there = np.zeros(k**ORDER, bool)
-        there[packed] = True
-        once = np.flatnonzero(there)
-        number = np.zeros(k**ORDER, np.int32)
-        number[once] = np.arange(len(once))
-        which = number[packed]
-    else:
-        once, which = np.unique(packed, return_inverse=True)
-    c = [alphabet[once // k ** (ORDER - 1 - i) % k] for i in range(ORDER)]
+    once, which = _numbered((two[:-2] * m + two[2:])[inside[ORDER - 1 :]], m * m)
+    packed = alphabet[twos // k] << 21 | alphabet[twos % k]
     at = begins - (ORDER - 1) * np.arange(len(begins))
-    return c[0] << 21 | c[1], c[2] << 21 | c[3], which, at
+    return packed[once // m], packed[once % m], which, at
 
 
 def _counted(docs: DataFrame, text_col: str, lang_col: str, trial: Column) -> DataFrame:
@@ -102,7 +112,7 @@ def _counted(docs: DataFrame, text_col: str, lang_col: str, trial: Column) -> Da
 
         for batch in batches:
             at = 0
-            for part in chunks(batch.column(0), 1 << 19):
+            for part in chunks(batch.column(0), CHUNK):
                 symbols, begins, _ = _symbols(part)
                 hi, lo, which, where = _grams(symbols, begins)
                 langs = np.empty(len(part), object)
@@ -187,7 +197,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     """Models of all languages of docs; rows with null language or text are not used. Every n-gram seen is
     kept, in a table that grows with the corpus; nothing of it comes to the driver but the languages."""
     with scratch():
-        return _model(settle(_counted(docs, text_col, lang_col, F.lit(False)), "grams"))
+        return _model(settle(_counted(docs, text_col, lang_col, F.lit(False)), "grams", BATCH))
 
 
 def _model(grams: DataFrame) -> Model:
@@ -234,15 +244,18 @@ def in_memory(model: Model) -> Arrays:
     return out
 
 
-def entropies(docs: DataFrame, model: Model, text_col: str, carry: list[Column], most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def entropies(docs: DataFrame, model: Model, text_col: str, carry: list[Column], most_broadcast: int = MOST_BROADCAST, within: tuple[int, ...] = ()) -> DataFrame:
     """The carried columns with n_letters, `nats` (for each language of the model the cross-entropy a symbol of
-    the text) and `mixed` (the same with the best language of each WINDOW symbols).
+    the text) and `mixed` (the same with the best language of each WINDOW symbols). within: where the text lies
+    in the carried columns, by number, if it is one of them or in a struct; it then goes to the tasks once.
 
     A model of most_broadcast entries at most is sent to the tasks; a larger one is joined with the texts'
     n-grams, with the same result but for the last digits.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.struct(*carry).alias("row"))
-    return (_scored_in_memory if model.n_entries <= most_broadcast else _scored_by_joins)(rows, model)
+    if model.n_entries > most_broadcast:
+        return _scored_by_joins(rows, model)
+    return _scored_in_memory(rows.select("row") if within else rows, model, within)
 
 
 def _windows(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,14 +266,18 @@ def _windows(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where[:-1][owner] + WINDOW * (np.arange(first[-1]) - first[owner]), first
 
 
-def _scored_in_memory(rows: DataFrame, model: Model) -> DataFrame:
+def _scored_in_memory(rows: DataFrame, model: Model, within: tuple[int, ...] = ()) -> DataFrame:
+    """rows: text and row, or row alone where the text lies within it."""
     shared = rows.sparkSession.sparkContext.broadcast(in_memory(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            at = 0
-            for part in chunks(batch.column(0), 1 << 19):
+            at, row = 0, batch.column("row")
+            text = row if within else batch.column("text")
+            for k in within:
+                text = text.field(k)
+            for part in chunks(text, CHUNK):
                 symbols, begins, letters = _symbols(part)
                 hi, lo, which, where = _grams(symbols, begins)
                 begin, first = _windows(where)
@@ -273,7 +290,7 @@ def _scored_in_memory(rows: DataFrame, model: Model) -> DataFrame:
                     nats[some] = np.add.reduceat(sums, first[:-1][some]) / size[some, None]
                     mixed[some] = np.add.reduceat(sums.min(axis=1), first[:-1][some]) / size[some]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(m.langs), pa.int32()), pa.array(nats.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(part)), pa.array(letters.astype(np.int64)), lists, pa.array(mixed)], ["row", "n_letters", "nats", "mixed"])
+                yield pa.RecordBatch.from_arrays([row.slice(at, len(part)), pa.array(letters.astype(np.int64)), lists, pa.array(mixed)], ["row", "n_letters", "nats", "mixed"])
                 at += len(part)
 
     kind = rows.schema["row"].dataType.simpleString()
@@ -287,7 +304,7 @@ def _scored_by_joins(rows: DataFrame, model: Model) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in chunks(batch.column(0), 1 << 19):
+            for part in chunks(batch.column(0), CHUNK):
                 symbols, begins, letters = _symbols(part)
                 hi, lo, which, where = _grams(symbols, begins)
                 begin, first = _windows(where)
@@ -346,13 +363,13 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     learnt = ~held_out(F.col(f"`{id_col}`")) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()
     trial = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(TRIAL)) == 0
     with scratch():
-        grams = settle(_counted(docs.where(learnt), text_col, lang_col, trial), "grams")
+        grams = settle(_counted(docs.where(learnt), text_col, lang_col, trial), "grams", BATCH)
         model = _model(grams.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")))
         with scratch():
             without = _model(grams.where("not trial"))
         limits = calibrated(docs.where(learnt & trial), without, id_col, text_col, lang_col, spread, most_broadcast)
     row = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")
-    scored = entropies(docs, model, text_col, [row], most_broadcast)
+    scored = entropies(docs, model, text_col, [row], most_broadcast, (0, carry.index(text_col)) if text_col in carry else ())
     names = F.array(*map(F.lit, model.langs)).cast("array<string>")
     some = (F.col("n_letters") > 0) & F.lit(bool(model.langs))
     best = scored.withColumns({"pred": F.when(some, F.get(names, F.array_position("nats", F.array_min("nats")).cast("int") - 1)), "low": F.when(some, F.array_min("nats"))})
@@ -376,7 +393,7 @@ def calibrated(held: DataFrame, model: Model, id_col: str, text_col: str, lang_c
     if not model.langs:
         return {}
     with scratch():
-        rows = settle(entropies(held, model, text_col, [F.col(f"`{lang_col}`").alias("lang")], most_broadcast), "calibration").where("n_letters > 0")
+        rows = settle(entropies(held, model, text_col, [F.col(f"`{lang_col}`").alias("lang")], most_broadcast), "calibration", BATCH).where("n_letters > 0")
         names = F.array(*map(F.lit, model.langs)).cast("array<string>")
         told = rows.where(F.get(names, F.array_position("nats", F.array_min("nats")).cast("int") - 1) == F.col("lang")).select("lang", (1.0 / F.col("n_letters")).alias("x"), F.col("mixed").alias("y"))
         out: dict[str, tuple[float, float, float]] = {}

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -144,3 +145,31 @@ def test_limits_come_from_every_text_left_out(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         K.calibrated(held, K.Model(["en"], [9], held, 9), "doc_id", "text", "lang", 6.0)
     assert seen.value.args == (25_000,)
+
+
+def test_grams_of_any_alphabet_in_little_memory():
+    """A batch of 75 letters, in which few pairs occur, and one of thousands; tables once took 160 MB in each Python worker."""
+    random = np.random.default_rng(1)
+    for letters, n in ((75, 500_000), (5_000, 200_000)):
+        step = random.integers(0, 12, n) if letters == 75 else random.integers(0, letters, n)
+        s = np.concatenate((np.zeros(3, np.int64), 0x4E00 + np.cumsum(step) % letters, np.zeros(4, np.int64)))
+        begins = np.array([0, n + 4, n + 7])
+        tracemalloc.start()
+        hi, lo, which, at = K._grams(s, begins)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80_000_000 and at.tolist() == [0, n + 1, n + 1]
+        assert (hi[which] == s[: n + 1] << 21 | s[1 : n + 2]).all() and (lo[which] == s[2 : n + 3] << 21 | s[3 : n + 4]).all()
+        both = list(zip(hi.tolist(), lo.tolist(), strict=True))
+        assert both == sorted(set(both))
+
+
+def test_a_carried_text_goes_to_the_tasks_once(spark, monkeypatch):
+    sent, kept = [], K._scored_in_memory
+    monkeypatch.setattr(K, "_scored_in_memory", lambda rows, *more: sent.append(rows.schema.simpleString()) or kept(rows, *more))
+    rows = [(1, "the cat sat", "en"), (3, "le chat", "fr"), (4, None, "en"), (5, "", None), (6, "the mat, le sol", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, body string, lang string")
+    with_text, without = ({r.doc_id: r for r in K.identified(df, text_col="body", carry=c).collect()} for c in (["lang", "body", "doc_id"], ["doc_id"]))
+    assert [x.count("string") for x in sent[1::2]] == [2, 1]
+    assert {k: r.found for k, r in with_text.items()} == {k: r.found for k, r in without.items()} and len(with_text) == 5
+    assert {(r.doc_id, r.body, r.lang) for r in with_text.values()} == set(rows)

@@ -23,7 +23,7 @@ from ..storage import exists, release, written
 _HOLDERS = "key string, first struct<observed_at: date, signal_id: long>, root long, home string, batch long"
 ROOTED = (
     "signal_id long, institution_code string, stage string, category string, budget_krw long, observed_at date, order_plan_no string, prespec_no string, bid_notice_no string, cancels_bid_notice_no string, "
-    "embedding array<double>, two array<string>, three array<string>, terms array<string>, rank int, root long, home string"
+    "embedding array<double>, bare string, terms array<string>, rank int, root long, home string"
 )
 
 

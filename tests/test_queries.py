@@ -82,3 +82,9 @@ def test_results_tell_all_that_their_operators_find(spark):
     found = QUERIES["resolve_institution"](spark, SF)
     assert {"department", "candidates"} < set(found.columns)
     assert {"exact", "context", "ambiguous", "none"} == {r.method for r in found.select("method").distinct().collect()}
+
+
+def test_titles_are_dealt_out_before_they_are_read(spark, capsys):
+    """One file of orders is few tasks; the work on each is not."""
+    QUERIES["titles_and_categories"](spark, SF).explain()
+    assert "REPARTITION" in capsys.readouterr().out

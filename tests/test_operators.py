@@ -75,6 +75,41 @@ def test_recommend_has_all_candidate_sources(spark):
     assert got == {1: {1, 5}, 2: {2}, 3: {2}, 4: {1, 2, 3}, 5: {4}}
 
 
+def test_recommend_scores_few_of_many_pairs(spark, monkeypatch):
+    """The best by score and id of all that share a key, with ties, nulls and blocks of a few rows, and no row for each pair."""
+    import random
+    from datetime import date, timedelta
+
+    rng, scored, pairs = random.Random(3), ranking._scored, []
+    monkeypatch.setattr(ranking, "ASKING", 4), monkeypatch.setattr(ranking, "BLOCK", 60), monkeypatch.setattr(ranking, "NEAREST", 2)
+    monkeypatch.setattr(ranking, "_scored", lambda rows: pairs.append(rows.count()) or scored(rows))
+    vector = lambda: rng.choice([None, [0.0, 0.0], [1.0, float("nan")], [1.0], *([rng.choice([1.0, 0.5, -1.0]), rng.random()] for _ in range(9))])
+    some = lambda *values: rng.choice(values)
+    live = [(k, f"{some('CCTV', '주차 안내', '누리집')} {k % 9}", some([], ["kw"], None), some("x", "x", "y", None), vector(), some("open", "bid_open"), some("11680", "26", "", None), some(None, 10**8, 3 * 10**8, 0), some(None, 0.5, 0.5, 0.85), date(2026, 1, 1) + timedelta(some(0, 50, 300)), None) for k in range(240)]
+    live = spark.createDataFrame(live, "opportunity_id long, title string, keywords array<string>, category string, embedding array<double>, status string, region_code string, est_budget_krw long, conversion_prob double, bid_window_start date, bid_window_end date")
+    given = [(k, some(["cctv"], ["주차안내", "KW"], ["ㅈ", None]), some([], ["누리집"], ["3", " "], None), some(["x"], ["x", "y"], ["y", None]), some([], ["11"], ["11680", None], None), some(None, 2 * 10**8), some(None, 2 * 10**8), vector()) for k in range(25)]
+    profiles = spark.createDataFrame(given, "org_id long, p_keywords array<string>, p_exclude array<string>, p_categories array<string>, p_regions array<string>, p_budget_min long, p_budget_max long, p_embedding array<double>")
+    today = F.lit(date(2025, 11, 20))
+    found = ranking.recommend(profiles, live, today, 6, 4, 2)
+    got = {(r.org_id, r.rank): (r.opportunity_id, r.score, str(r.features)) for r in found.collect()}
+    bare = F.lower(F.regexp_replace("title", " ", ""))
+    shared = F.exists("p_keywords", lambda k: F.contains(bare, F.lower(k)) | F.exists(F.coalesce("keywords", F.array()), lambda own: F.lower(own) == F.lower(k)))
+    every = ranking.scored(profiles.crossJoin(live).where(F.coalesce(F.array_contains("p_categories", F.col("category")), F.lit(False)) | F.coalesce(shared, F.lit(False))), today)
+    want = {}
+    for r in every.orderBy("org_id", F.col("score").desc(), "opportunity_id").collect():
+        want.setdefault(r.org_id, []).append((r.opportunity_id, r.score, str(r.features)))
+    # What is only near by embedding comes besides.
+    near = {(r.query_id, r.row_id) for r in ranking.ann.exactly(profiles, ranking.ann.built(live, 4, "opportunity_id"), 2, 2, "org_id", "p_embedding").collect()}
+    more = ranking.scored(profiles.crossJoin(live), today).collect()
+    for r in more:
+        if (r.org_id, r.opportunity_id) in near and all(r.opportunity_id != o for o, *_ in want.get(r.org_id, [])):
+            want.setdefault(r.org_id, []).append((r.opportunity_id, r.score, str(r.features)))
+    order = lambda x: (x[1] is None, -(x[1] or 0), x[0])
+    assert got == {(org, i): x for org, own in want.items() for i, x in enumerate(sorted(own, key=order)[:6], 1)}
+    assert len(got) == 150 and any(x[1] is None for own in want.values() for x in own)
+    assert pairs[0] < every.count() / 2
+
+
 def test_long_exchanges_are_cut_after_a_full_stop(spark):
     from tenderspring.operators import chunking
 
